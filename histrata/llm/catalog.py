@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions.runtime import table
-from . import seen_before
+from . import packing, repetition, seen_before
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -42,3 +42,40 @@ def p4_seen(spark, base):
 @query("p4_error_rates")
 def p4_error_rates(spark, base):
     return seen_before.error_rates(table(spark, base, "pack_entries"), table(spark, base, "haves"))
+
+
+@query("p6_pack")
+def p6_pack(spark, base):
+    return packing.pack_documents(table(spark, base, "documents"), table(spark, base, "containers"))
+
+
+@query("p6_fill")
+def p6_fill(spark, base):
+    containers = table(spark, base, "containers")
+    return packing.fill(packing.pack_documents(table(spark, base, "documents"), containers), containers)
+
+
+_REPEATS = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(regexp_replace(lower(coalesce(text, '')), '\d', '', 'g'), '[\pL\pM_]+') AS ws FROM documents),
+g AS (SELECT doc_id, i, list_slice(ws, i, i + 3) AS gram FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 2)) AS i FROM w)),
+r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id, gram ORDER BY i) > 1 AS again FROM g),
+c AS (SELECT doc_id, count(DISTINCT i + k) AS repeated FROM (SELECT doc_id, i, unnest([0, 1, 2, 3]) AS k FROM r WHERE again) GROUP BY doc_id),
+m AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS words, CAST(coalesce(c.repeated, 0) AS BIGINT) AS repeated FROM w LEFT JOIN c ON c.doc_id = w.doc_id)
+"""
+
+
+@query("p8_found", _REPEATS + "SELECT doc_id FROM m WHERE words > 0 AND repeated * 5 >= words * 2")
+def p8_found(spark, base):
+    return repetition.repetitive(table(spark, base, "documents")).select("doc_id")
+
+
+@query("p8_shares", _REPEATS + "SELECT doc_id, words, repeated, CASE WHEN words > 0 THEN repeated / words ELSE 0.0 END AS share FROM m")
+def p8_shares(spark, base):
+    return repetition.measure(table(spark, base, "documents").select("doc_id", "text")).select("doc_id", "words", "repeated", "share")
+
+
+@query("p8_cutoffs")
+def p8_cutoffs(spark, base):
+    scored = repetition.measure(table(spark, base, "documents").select("doc_id", "doc_kind", "text"))
+    rows = repetition.cutoffs(repetition.holdout(scored, "doc_id"), "doc_kind", "share", "wanted")
+    return spark.createDataFrame(rows, "doc_kind string, good bigint, cutoff double, false_rejections bigint, bound double")
