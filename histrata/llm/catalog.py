@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions.runtime import table
-from . import packing, repetition, seen_before
+from . import leaks, packing, repetition, seen_before
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -79,3 +79,13 @@ def p8_cutoffs(spark, base):
     scored = repetition.measure(table(spark, base, "documents").select("doc_id", "doc_kind", "text"))
     rows = repetition.cutoffs(repetition.holdout(scored, "doc_id"), "doc_kind", "share", "wanted")
     return spark.createDataFrame(rows, "doc_kind string, good bigint, cutoff double, false_rejections bigint, bound double")
+
+
+@query("p7_found")
+def p7_found(spark, base):
+    return leaks.leaks(table(spark, base, "documents"), table(spark, base, "eval_items")).where("kind = 'text'").select("doc_id", "item_id")
+
+
+@query("p7_leaks")
+def p7_leaks(spark, base):
+    return leaks.leaks(table(spark, base, "documents"), table(spark, base, "eval_items"))
