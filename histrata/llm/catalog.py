@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions.runtime import table
-from . import leaks, packing, repetition, seen_before
+from . import leaks, names, packing, repetition, seen_before
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -89,3 +89,13 @@ def p7_found(spark, base):
 @query("p7_leaks")
 def p7_leaks(spark, base):
     return leaks.leaks(table(spark, base, "documents"), table(spark, base, "eval_items"))
+
+
+@query("p1_found")
+def p1_found(spark, base):
+    return names.variants(table(spark, base, "signatures"))
+
+
+@query("p1_entities")
+def p1_entities(spark, base):
+    return names.entities(table(spark, base, "signatures"))
