@@ -32,6 +32,8 @@ from ..operators.components import components
 LEAST_SIMILARITY = 0.85
 FREQUENT = 8
 SHARED_MAIL = 2
+#: Surnames from this length on may be two errors apart if the given name is the same.
+LONG = 10
 
 #: Short and familiar forms, each with the names it stands for.
 NICKNAMES = {
@@ -153,7 +155,7 @@ def sound(token: str) -> str:
 def blocks(token: str) -> set[str]:
     """The phonetic code of a token, and the code less each one symbol."""
     c = sound(token)
-    return {c} | {c[:i] + c[i + 1 :] for i in range(len(c))}
+    return {c} | {re.sub(r"(.)\1+", r"\1", c[:i] + c[i + 1 :]) for i in range(len(c))}
 
 
 #: For each name the first letters of its short forms.
@@ -288,7 +290,7 @@ def accepted(ka: str, ga: str, sa: str, fa: int, kb: str, gb: str, sb: str, fb:
         return mail and (ga[:1] == gb[:1]) and alike(sa, sb)
     given = same_given(ga, gb, fa, fb)
     if given == "same":
-        return plain(sa) == plain(sb) or (min(len(sa), len(sb)) >= 4 and (similar(sa, sb) or (mail and alike(sa, sb))))
+        return plain(sa) == plain(sb) or (min(len(sa), len(sb)) >= 4 and (similar(sa, sb) or ((mail or min(len(sa), len(sb)) >= LONG) and alike(sa, sb))))
     return given == "typo" and (plain(sa) == plain(sb) or (mail and alike(sa, sb)))
 
 
@@ -314,6 +316,9 @@ def clusters(signatures: DataFrame) -> tuple[DataFrame, Scratch]:
     owned = nodes.select("id", F.explode("all_mails").alias("mail"), F.substring("s", 1, 3).alias("s3"))
     few = owned.groupBy("mail").agg(F.count_distinct("s3").alias("n")).where(F.col("n") <= SHARED_MAIL).select("mail")
     own = owned.join(few, "mail", "left_semi").select("id", "mail").distinct()
+    # an address spelled given.surname speaks for the name it spells
+    spelled = own.select("id", F.regexp_extract("mail", r"^([a-z]{3,})[._]([a-z]{4,})@", 1).alias("x"), F.regexp_extract("mail", r"^([a-z]{3,})[._]([a-z]{4,})@", 2).alias("y")).where("x <> ''")
+    own = own.unionByName(spelled.select("id", F.concat_ws(" ", "x", "y").alias("mail"))).unionByName(nodes.where("kind = 'p' AND length(g) > 2").select("id", F.concat_ws(" ", "g", "s").alias("mail"))).distinct()
     mails = own.groupBy("id").agg(F.collect_set("mail").alias("mails"))
     nodes = scratch.save(nodes.drop("all_mails").join(mails, "id", "left").withColumn("mails", F.coalesce("mails", F.array().cast("array<string>"))))
 
