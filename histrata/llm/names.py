@@ -317,8 +317,13 @@ def clusters(signatures: DataFrame) -> tuple[DataFrame, Scratch]:
     few = owned.groupBy("mail").agg(F.count_distinct("s3").alias("n")).where(F.col("n") <= SHARED_MAIL).select("mail")
     own = owned.join(few, "mail", "left_semi").select("id", "mail").distinct()
     # an address spelled given.surname speaks for the name it spells
-    spelled = own.select("id", F.regexp_extract("mail", r"^([a-z]{3,})[._]([a-z]{4,})@", 1).alias("x"), F.regexp_extract("mail", r"^([a-z]{3,})[._]([a-z]{4,})@", 2).alias("y")).where("x <> ''")
-    own = own.unionByName(spelled.select("id", F.concat_ws(" ", "x", "y").alias("mail"))).unionByName(nodes.where("kind = 'p' AND length(g) > 2").select("id", F.concat_ws(" ", "g", "s").alias("mail"))).distinct()
+    found = lambda pattern, k: F.regexp_extract("mail", pattern, k)
+    shapes = [(r"^([a-z]{3,})[._]([a-z]{4,})@", 1, 2), (r"^([a-z]{5,})[._]([a-z])@", 2, 1), (r"^([a-z])([a-z]{5,})[0-9]*@", 1, 2)]
+    spelled = [own.select("id", F.concat_ws(" ", found(p, x), found(p, y)).alias("mail")).where("mail <> ' '") for p, x, y in shapes]
+    full = nodes.where("kind = 'p' AND length(g) > 2").select("id", F.explode(F.array(F.concat_ws(" ", "g", "s"), F.concat_ws(" ", F.substring("g", 1, 1), F.col("s")))).alias("mail"))
+    for more in (*spelled, full):
+        own = own.unionByName(more)
+    own = own.distinct()
     mails = own.groupBy("id").agg(F.collect_set("mail").alias("mails"))
     nodes = scratch.save(nodes.drop("all_mails").join(mails, "id", "left").withColumn("mails", F.coalesce("mails", F.array().cast("array<string>"))))
 
