@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions.runtime import table
-from . import leaks, names, packing, repetition, seen_before
+from . import leaks, mojibake, names, packing, repetition, seen_before
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -99,3 +99,18 @@ def p1_found(spark, base):
 @query("p1_entities")
 def p1_entities(spark, base):
     return names.entities(table(spark, base, "signatures"))
+
+
+@query("p3_found")
+def p3_found(spark, base):
+    return mojibake.damaged(table(spark, base, "commits"))
+
+
+@query("p3_restored")
+def p3_restored(spark, base):
+    return mojibake.restored(table(spark, base, "commits"))
+
+
+@query("p3_mappings")
+def p3_mappings(spark, base):
+    return mojibake.mappings(table(spark, base, "commits"))
