@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions.runtime import table
-from . import leaks, mojibake, names, packing, repetition, seen_before
+from . import leaks, mojibake, names, packing, pii, repetition, seen_before
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -114,3 +114,13 @@ def p3_restored(spark, base):
 @query("p3_mappings")
 def p3_mappings(spark, base):
     return mojibake.mappings(table(spark, base, "commits"))
+
+
+@query("p5_found")
+def p5_found(spark, base):
+    return pii.kinds(table(spark, base, "commits"))
+
+
+@query("p5_redacted")
+def p5_redacted(spark, base):
+    return pii.redacted(table(spark, base, "commits"))
