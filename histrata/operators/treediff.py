@@ -94,7 +94,9 @@ def similar_contents(left: DataFrame, right: DataFrame, least: int = 60) -> Data
     ranked = la.join(sa, "_k").join(often, (F.col("_k.grp") == often["grp"]) & (la["h"] == often["h"]), "left").select("_k", la["h"], "na", "size_a", F.coalesce("often", F.lit(0)).alias("often"))
     w = Window.partitionBy("_k").orderBy("often", "h").rowsBetween(Window.unboundedPreceding, -1)
     probe = ranked.withColumn("before", F.coalesce(F.sum("na").over(w), F.lit(0))).where((F.col("before") * 100 <= F.col("size_a") * (100 - least)) & (F.col("often") > 0))
-    cand = probe.select(F.col("_k").alias("ka"), "h", "size_a").join(rb.join(sb, "_k").select(F.col("_k").alias("kb"), "h", "size_b"), "h").where((F.col("ka.grp") == F.col("kb.grp")) & (F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * least)).select("ka", "kb", "size_a", "size_b").distinct()
+    x = probe.select(F.col("_k").alias("ka"), F.col("_k.grp").alias("g"), "h", "size_a")
+    y = rb.join(sb, "_k").select(F.col("_k").alias("kb"), F.col("_k.grp").alias("g"), "h", "size_b")
+    cand = x.join(y, ["g", "h"]).where((F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * least)).select("ka", "kb", "size_a", "size_b").distinct()
     full = cand.join(la.withColumnRenamed("_k", "ka"), "ka").join(rb.withColumnRenamed("_k", "kb"), ["kb", "h"])
     score = full.groupBy("ka", "kb", "size_a", "size_b").agg(F.sum(F.least("na", "nb")).alias("common"))
     return score.withColumn("score", F.floor(F.col("common") * 100 / F.greatest("size_a", "size_b"))).where(F.col("score") >= least).select(F.col("ka.grp").alias("grp"), F.col("ka.a").alias("a"), F.col("kb.b").alias("b"), "score")

@@ -69,19 +69,20 @@ def p30_checks(spark, base):
 
 
 def _contents(t):
-    """Distinct contents of each repository's documents, each by its smallest doc_id."""
-    b = t.blobs.where("path IS NOT NULL AND text IS NOT NULL AND text <> ''")
-    return b.groupBy(F.col("repo").alias("grp"), "text").agg(F.min("doc_id").alias("a")).select("grp", "a", "text")
+    """One content per order: its files' paths and blobs as lines. Equal contents of a customer count once, by their smallest order."""
+    f = t.tree_files.groupBy("tree").agg(F.array_join(F.array_sort(F.collect_list(F.concat("path", F.lit(" "), F.substring("blob", 1, 8), F.lit("\n")))), "").alias("text"))
+    h = t.history.select("oid", "branch").join(f, F.col("oid") == F.col("tree"))
+    return h.groupBy(F.col("branch").alias("grp"), "text").agg(F.min("oid").alias("a")).select("grp", "a", "text")
 
 
 def j9_similar_contents(spark, base):
-    """Pairs of different contents of a repository that share at least half their bytes in lines, as for rename detection."""
+    """Pairs of different contents of a customer's orders that share at least half their bytes in lines, as for rename detection."""
     b = _contents(RepoTables(spark, base))
     return D.similar_contents(b, b.withColumnRenamed("a", "b"), 50).where("a < b")
 
 
 def j7_content_renames(spark, base):
-    """Greedy one-to-one pairs of a repository's even and odd contents, taken as deleted and inserted files."""
+    """Greedy one-to-one pairs of a customer's even and odd orders, taken as deleted and inserted files."""
     b = _contents(RepoTables(spark, base))
     return D.greedy_pairs(D.similar_contents(b.where("a % 2 = 0"), b.where("a % 2 = 1").withColumnRenamed("a", "b"), 60), Scratch(spark, "renames"))
 
@@ -101,5 +102,5 @@ ORACLE = {
     "j6_exact_renames": f"{_DIFF}, g AS (SELECT pair, from_blob AS blob, path AS from_path, row_number() OVER (PARTITION BY pair, from_blob ORDER BY path) AS k FROM d WHERE action = 'delete'), i AS (SELECT pair, to_blob AS blob, path AS to_path, row_number() OVER (PARTITION BY pair, to_blob ORDER BY path) AS k FROM d WHERE action = 'insert') SELECT pair, from_path, to_path, blob FROM g JOIN i USING (pair, blob, k)",
     "j10_status": _STATUS,
     "s34_tree_walk": f"WITH {SQL} SELECT tree, path, false AS is_dir FROM tf UNION SELECT tree, split_part(path, '/', 1), true FROM tf",
-    "j9_similar_contents": "WITH c AS (SELECT source AS grp, text, min(doc_id) AS doc_id FROM documents WHERE path IS NOT NULL AND text IS NOT NULL AND text <> '' GROUP BY ALL), p AS (SELECT doc_id, grp, unnest(regexp_extract_all(text, '[^\\n]{0,63}\\n|[^\\n]{1,64}')) AS p FROM c), b AS (SELECT grp, doc_id, p, CAST(sum(strlen(p)) AS BIGINT) AS n FROM p GROUP BY ALL), s AS (SELECT grp, doc_id, sum(n) AS size FROM b GROUP BY ALL), m AS (SELECT x.grp, x.doc_id AS a, y.doc_id AS b, sum(least(x.n, y.n)) AS common FROM b x JOIN b y ON x.grp = y.grp AND x.p = y.p AND x.doc_id < y.doc_id GROUP BY ALL) SELECT m.grp, a, b, CAST(floor(common * 100 / greatest(s.size, t.size)) AS BIGINT) AS score FROM m JOIN s ON s.grp = m.grp AND s.doc_id = a JOIN s t ON t.grp = m.grp AND t.doc_id = b WHERE floor(common * 100 / greatest(s.size, t.size)) >= 50",
+    "j9_similar_contents": f"WITH {SQL}, f AS (SELECT tree, string_agg(l, '' ORDER BY l) AS text FROM (SELECT tree, path || ' ' || substr(blob, 1, 8) || chr(10) AS l FROM tf) GROUP BY tree) , cn AS (SELECT branch AS grp, text, min(oid) AS doc_id FROM hist JOIN f ON f.tree = hist.oid GROUP BY ALL), p AS (SELECT doc_id, grp, unnest(regexp_extract_all(text, '[^\\n]{{0,63}}\\n|[^\\n]{{1,64}}')) AS p FROM cn), b AS (SELECT grp, doc_id, p, CAST(sum(strlen(p)) AS BIGINT) AS n FROM p GROUP BY ALL), s AS (SELECT grp, doc_id, sum(n) AS size FROM b GROUP BY ALL), m AS (SELECT x.grp, x.doc_id AS a, y.doc_id AS b, sum(least(x.n, y.n)) AS common FROM b x JOIN b y ON x.grp = y.grp AND x.p = y.p AND x.doc_id < y.doc_id GROUP BY ALL) SELECT m.grp, a, b, CAST(floor(common * 100 / greatest(s.size, t.size)) AS BIGINT) AS score FROM m JOIN s ON s.grp = m.grp AND s.doc_id = a JOIN s t ON t.grp = m.grp AND t.doc_id = b WHERE floor(common * 100 / greatest(s.size, t.size)) >= 50",
 }
