@@ -32,6 +32,8 @@ WINDOW = 5
 MIN_WORDS, MIN_SAME = 24, 0.8
 #: For re-parameterised items: the share of canonical words that agree.
 MIN_TEMPLATE = 0.9
+#: The share of the document's words across the passage that must agree, so that scattered pieces are no passage.
+MIN_DENSE = 0.65
 #: Words that the ends of a passage may lack to alterations.
 SLACK = 2
 ITEM_WORDS_PER_BLOCK = 2_000_000
@@ -215,7 +217,8 @@ def judge(items: Items, text: str | None) -> list[tuple[int, str, int, int]]:
                 j0, j1, pairs = align(words[low:high], item)
                 same = sum(words[low + p] == item[q] for p, q in pairs)
                 span = j1 - j0 + 1
-                if span >= MIN_WORDS - SLACK and same >= MIN_SAME * max(span, MIN_WORDS - SLACK):
+                across = pairs[-1][0] - pairs[0][0] + 1 if pairs else 0
+                if span >= MIN_WORDS - SLACK and same >= MIN_SAME * max(span, MIN_WORDS - SLACK) and same >= MIN_DENSE * across:
                     got = ("text", span, same)
             if got is None and dense(slot_ids[low:high], items.canon_sets[n], MIN_TEMPLATE * MIN_WORDS):
                 j0, j1, pairs = align(canon[low:high], slots)
