@@ -62,7 +62,7 @@ CODE = re.compile(r"(?<![\w.@#/:])[A-Z]{1,2}\d[\dA-Z]{5,10}(?![\w])|(?<![\w.])[A
 STREETS = "|".join(sorted(map(re.escape, STREET), key=len, reverse=True))
 FIRSTS = "|".join(sorted(map(re.escape, STREET_FIRST), key=len, reverse=True))
 UNIT = r"(?:,? (?:Apt\.?|Apartment|Unit|Suite|Ste\.?|Floor|Fl\.?|Flat|No\.?|#) ?[\w-]+)?"
-TOWN = rf"(?:,? ?(?:[A-Z]-)?\d{{2}}-?\d{{3}} [{UP}][\w'’.-]+(?:[ -](?:[{UP}][\w'’.-]+|sur|am|an|der|la|le|de))*|, [{UP}][\w'’.-]+(?:[ -](?:[{UP}][\w'’.-]+|sur|am|an|der|la|le|de))*(?: \d{{4,5}})?)?"
+TOWN = rf"(?:,? ?(?:[A-Z]-)?\d{{2}}-?\d{{3}} [{UP}][\w'’-]+(?:[ -](?:[{UP}][\w'’-]+|sur|am|an|der|la|le|de))*|, [{UP}][\w'’-]+(?:[ -](?:[{UP}][\w'’-]+|sur|am|an|der|la|le|de))*(?: \d{{4,5}})?)?"
 ADDRESS = (
     re.compile(rf"(?:Flat \d+\w?,? )?(?<![\w.])\d{{1,5}}(?:[/-]\d+)?[A-Za-z]? (?:[NSEW]\.? )?(?:[\w'’]+ ){{1,3}}(?i:{STREETS})(?!\w){UNIT}{TOWN}"),
     re.compile(rf"(?<!\w)\d{{1,4}}(?: ?(?:bis|ter))?,? (?i:{FIRSTS}) (?:(?:des|de|du|la|le|les|del|d'|l') ?){{0,2}}[{UP}][\w'’-]+(?: [{UP}][\w'’-]+)*{TOWN}"),
@@ -189,6 +189,8 @@ def _address(text: str, s: int, e: int) -> list[str]:
     inner = [w for w in words if not w[0].isdigit() and w.lower() not in STREET]
     if inner and all(w[0].islower() for w in inner):
         out.append("lower")
+    elif any(w[0].islower() and w not in STREET_FIRST and w not in ("des", "de", "du", "del", "la", "le", "les", "sur", "am", "an", "der", "d'", "l'") for w in inner):
+        out.append("mixed")
     if any(w.lower() in ORDINARY for w in inner):
         out.append("ordinary_inside")
     return out
