@@ -3,7 +3,8 @@
 Plain breadth-first loops need one round per generation, several hundred here. Instead the first
 parents' forest is built once (``Forest``); a start reaches all of its path to the root in one
 step, and only other parents of merges start anew. Rounds are as many as merges are nested, not as
-histories are deep. Where first parents run in a circle there is no path, and single steps are taken.
+histories are deep. Where first parents run in a circle, the circle is cut above its smallest
+commit, and the cut link is one more link to start anew from.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.runtime import Scratch, parts_for
-from .hierarchy import BLOCK, ROWS_PER_BUCKET, intervals, numbered, paths
+from .hierarchy import BLOCK, ROWS_PER_BUCKET, circles, intervals, numbered, paths
 from .tables import RepoTables
 
 
@@ -26,31 +27,32 @@ class Forest:
         self.commits = slim
         links = slim.select("oid", F.get(F.col("parents"), F.lit(0)).alias("parent"))
         nodes, self.rows = numbered(links, "oid", "parent", self.scratch)
-        self.placed = self.scratch.save(intervals(nodes, self.rows, self.scratch))
+        self.endless = self.scratch.save(circles(nodes, self.scratch))
+        cut = self.endless.select(F.col("cycle_oid").alias("oid")).distinct().withColumn("_cut", F.lit(True))
+        nodes = self.scratch.save(nodes.join(cut, "oid", "left").select("id", "oid", F.when(F.col("_cut").isNull(), F.col("pid")).alias("pid")))
+        self.placed = self.scratch.save(intervals(nodes, self.rows, self.scratch, acyclic=True))
         self.paths = self.scratch.save(paths(self.placed, self.rows))
         known = slim.select(F.col("oid").alias("parent"))
         edges = slim.select(F.col("oid").alias("child"), F.posexplode("parents").alias("ord", "parent")).where(F.col("parent").isNotNull() & (F.col("parent") != ""))
         self.edges = self.scratch.save(edges.join(known, "parent", "left_semi").select("child", "ord", "parent"))
-        endless = slim.select("oid").join(self.paths.select("oid"), "oid", "left_anti")
-        self.jumps = self.scratch.save(self.edges.where("ord > 0").unionByName(self.edges.where("ord = 0").join(endless.withColumnRenamed("oid", "child"), "child", "left_semi")).select("child", "parent").distinct())
+        self.jumps = self.scratch.save(self.edges.where("ord > 0").unionByName(self.edges.where("ord = 0").join(cut.withColumnRenamed("oid", "child"), "child", "left_semi").select("child", "ord", "parent")).select("child", "parent").distinct())
 
     def closure(self, starts: DataFrame) -> DataFrame:
         """For starts (label, oid): (label, oid) of everything each label reaches, starts included.
 
         Starts that are no commit here reach nothing; repeated starts count once.
         """
-        known = self.commits.select("oid")
-        new = self.scratch.save(starts.select("label", "oid").where(F.col("oid").isNotNull()).distinct().join(known, "oid", "left_semi").select("label", "oid"))
+        new = starts.select("label", "oid").where(F.col("oid").isNotNull()).distinct().join(self.commits.select("oid"), "oid", "left_semi").select("label", "oid")
         seen = None
-        while not new.isEmpty():
-            up = new.join(self.paths.select("oid", "path"), "oid", "left").select("label", F.explode(F.coalesce("path", F.array("oid"))).alias("oid")).distinct()
+        while True:
+            up = new.join(self.paths.select("oid", "path"), "oid").select("label", F.explode("path").alias("oid")).distinct()
             fresh = self.scratch.save(up if seen is None else up.join(seen, ["label", "oid"], "left_anti"))
-            both = self.scratch.save(fresh if seen is None else seen.unionByName(fresh))
-            self.scratch.release(seen, new)
-            seen = both
-            nxt = fresh.join(self.jumps, fresh["oid"] == self.jumps["child"]).select("label", F.col("parent").alias("oid")).distinct()
-            new = self.scratch.save(nxt.join(seen, ["label", "oid"], "left_anti"))
-        return seen if seen is not None else new
+            if fresh.isEmpty():
+                return fresh if seen is None else seen
+            before, seen = seen, fresh if seen is None else seen.unionByName(fresh)
+            new = fresh.join(self.jumps, fresh["oid"] == self.jumps["child"]).select("label", F.col("parent").alias("oid")).distinct()
+            if before is not None:
+                new = new.join(seen, ["label", "oid"], "left_anti")
 
     def ancestor_max(self, values: DataFrame) -> DataFrame:
         """For values (oid, value): (oid, top), the largest value on each node's path from the root, itself included."""
@@ -80,7 +82,7 @@ class Forest:
 
         Commits on or below circles have no generation and are left out.
         """
-        depth = self.paths.select("oid", "depth")
+        depth = self.scratch.save(self.paths.select("oid", "depth").join(self.endless, "oid", "left_anti"))
         others = self.edges.where("ord > 0").select("child", "parent")
         base = self.scratch.save(depth.select("oid", F.lit(1).cast("bigint").alias("base")))
         before = None

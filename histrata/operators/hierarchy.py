@@ -84,15 +84,13 @@ def _tours(nodes: DataFrame, rows: int) -> DataFrame:
     return full.select(F.explode(pairs).alias("x")).select("x.*")
 
 
-def intervals(nodes: DataFrame, rows: int, scratch: Scratch) -> DataFrame:
+def intervals(nodes: DataFrame, rows: int, scratch: Scratch, acyclic: bool = False) -> DataFrame:
     """(id, oid, root, entry, leave, depth, n_descendants) of every node of a tree.
 
     ``entry`` and ``leave`` count from 0 within the tree: d is a descendant of v if and only if
-    both have the same root and v.entry < d.entry < v.leave.
+    both have the same root and v.entry < d.entry < v.leave. ``acyclic``: known to have no circles.
     """
-    bad = endless(nodes, scratch)
-    forest = scratch.save(nodes.join(bad, "id", "left_anti"))
-    scratch.release(bad)
+    forest = nodes if acyclic else scratch.save(nodes.join(endless(nodes, scratch), "id", "left_anti"))
     ranked = scratch.save(list_rank(_tours(forest, rows), scratch))
     root = F.shiftright("last", 1)
     per = ranked.select(F.shiftright("e", 1).alias("id"), root.alias("root"), (F.col("e") % 2 == 0).alias("enters"), "to_end", "sum_to_end")
