@@ -581,3 +581,82 @@ def read_reflog(text: str) -> list[tuple[str, str, str, str]]:
 
 def write_reflog(rows: list[tuple[str, str, str, str]]) -> str:
     return "".join(f"{o} {n} {w}\t{m}\n" for o, n, w, m in rows)
+
+
+# extensions of staging files, chains of graphs, submodules
+
+
+def read_index_extensions(data: bytes, algorithm: str = "sha1") -> dict[str, list]:
+    """The extensions of a staging file: TREE as (path, entries, subtrees, oid), REUC as (path, {stage: (mode, oid)}), EOIE as (offset, oid); others by size."""
+    w, entries = width(algorithm), read_index(data, algorithm)
+    version = struct.unpack(">I", data[4:8])[0]
+    at, end = len(write_index(entries, max(version, 3) if version == 3 else version, algorithm)) - w, len(data) - w
+    out: dict[str, list] = {}
+    while at + 8 <= end:
+        name, size = data[at : at + 4].decode("ascii", "replace"), struct.unpack(">I", data[at + 4 : at + 8])[0]
+        body = data[at + 8 : at + 8 + size]
+        if at + 8 + size > end:
+            raise ValueError("extension beyond the file")
+        rows: list = []
+        k = 0
+        if name == "TREE":
+            while k < len(body):
+                z = body.index(b"\0", k)
+                path, rest = body[k:z].decode("utf-8", "surrogateescape"), body[z + 1 :].split(b"\n", 1)[0]
+                n, sub = map(int, rest.split(b" "))
+                k = z + 1 + len(rest) + 1
+                oid = body[k : k + w].hex() if n >= 0 else None
+                k += w if n >= 0 else 0
+                rows.append((path, n, sub, oid))
+        elif name == "REUC":
+            while k < len(body):
+                z = body.index(b"\0", k)
+                path, k, modes = body[k:z].decode("utf-8", "surrogateescape"), z + 1, []
+                for _ in range(3):
+                    z = body.index(b"\0", k)
+                    modes.append(int(body[k:z], 8))
+                    k = z + 1
+                stages = {}
+                for s, m in enumerate(modes, 1):
+                    if m:
+                        stages[s] = (m, body[k : k + w].hex())
+                        k += w
+                rows.append((path, stages))
+        elif name == "EOIE":
+            rows.append((struct.unpack(">I", body[:4])[0], body[4:].hex()))
+        else:
+            rows.append(size)
+        out[name] = rows
+        at += 8 + size
+    return out
+
+
+def index_extension(name: str, body: bytes) -> bytes:
+    return name.encode() + struct.pack(">I", len(body)) + body
+
+
+def add_index_extension(data: bytes, name: str, body: bytes, algorithm: str = "sha1") -> bytes:
+    """A staging file with one more extension, its checksum made anew."""
+    w = width(algorithm)
+    whole = data[:-w] + index_extension(name, body)
+    h = _new(algorithm)
+    h.update(whole)
+    return whole + h.digest()
+
+
+def read_graph_chain(files: list[bytes]) -> list[dict]:
+    """The commits of graph files that build on each other, base first; a later file's row wins."""
+    rows: dict[str, dict] = {}
+    for f in files:
+        for c in read_graph(f):
+            rows[c["oid"]] = c
+    return sorted(rows.values(), key=lambda c: c["oid"])
+
+
+def submodules(rows: list[tuple]) -> list[dict]:
+    """Submodules of configuration rows (section, subsection, key, ord, value): name, path, url, branch."""
+    out: dict[str, dict] = {}
+    for section, name, key, _, value in rows:
+        if section == "submodule" and name and key in ("path", "url", "branch"):
+            out.setdefault(name, {"name": name, "path": None, "url": None, "branch": None})[key] = value
+    return list(out.values())

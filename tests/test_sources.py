@@ -96,3 +96,19 @@ def test_folder_through_spark(spark, tmp_path):
         assert t.extractfile("p/d/f3").read() == blobs[3] and t.getmember("p/x").mode == 0o755
     R.write_archive(out, str(tmp_path / "a.zip"), "zip")
     assert zipfile.ZipFile(tmp_path / "a.zip").read("d/f4") == blobs[4]
+
+
+def test_index_extensions_and_chains():
+    base = C.write_index([{"path": f"d/{i}", "mode": 33188, "oid": "%040x" % i} for i in range(3)])
+    tree = b"\x003 1\n" + bytes(20) + b"d\0-1 0\n"
+    more = C.add_index_extension(C.add_index_extension(base, "TREE", tree), "REUC", b"d/1\x00100644\x000\x00100755\x00" + b"\x01" * 20 + b"\x02" * 20)
+    got = C.read_index_extensions(more)
+    assert got["TREE"] == [("", 3, 1, "0" * 40), ("d", -1, 0, None)]
+    assert got["REUC"] == [("d/1", {1: (33188, "01" * 20), 3: (33261, "02" * 20)})]
+    assert len(C.read_index(more)) == 3
+    a = {"oid": "aa" * 20, "tree_oid": "d" * 40, "parents": [], "generation": 1, "when": 5}
+    b = {"oid": "bb" * 20, "tree_oid": "e" * 40, "parents": [], "generation": 1, "when": 6}
+    assert C.read_graph_chain([C.write_graph([a]), C.write_graph([b])]) == [a, b]
+    from histrata.operators.config import decode
+
+    assert C.submodules(decode('[submodule "x"]\n\tpath = p\n\turl = ../u\n')) == [{"name": "x", "path": "p", "url": "../u", "branch": None}]
