@@ -52,6 +52,18 @@ _NUMBER = re.compile(r"[+-]?\d[\d.,:]*")
 _NAME = re.compile(r"[a-z0-9][A-Z]|[A-Za-z0-9]_[A-Za-z0-9]|\w/\w|\w\(\)|\w\.\w")
 
 
+#: Words whose forms are remembered within a process, at most so many at a time.
+KNOWN_WORDS = 200_000
+_KNOWN: dict[str, tuple[str, str]] = {}
+
+
+def _word(raw: str) -> tuple[str, str]:
+    """A raw word without markup and case ("" if nothing is left), and its canonical form but for units."""
+    w = _OUT.sub("", raw).casefold()
+    core = raw.strip("*_`~\"'“”‘’()[]{}<>.,;:!?")
+    return w, "<num>" if _NUMBER.fullmatch(core) else "<name>" if w not in UNITS and _NAME.search(core) else w
+
+
 def words_of(text: str | None) -> tuple[list[str], list[str]]:
     """The words of a text without layout and markup, and the canonical form of each."""
     if not text:
@@ -59,19 +71,15 @@ def words_of(text: str | None) -> tuple[list[str], list[str]]:
     text = _LEAD.sub(" ", _LINK.sub("] ", _TAG.sub("", html.unescape(text) if "&" in text else text)))
     words, canon = [], []
     for raw in text.split():
-        w = _OUT.sub("", raw).casefold()
-        if not w:
-            continue
-        words.append(w)
-        core = raw.strip("*_`~\"'“”‘’()[]{}<>.,;:!?")
-        if _NUMBER.fullmatch(core):
-            canon.append("<num>")
-        elif w in UNITS and len(canon) and canon[-1] == "<num>":
-            canon.append("<unit>")
-        elif _NAME.search(core):
-            canon.append("<name>")
-        else:
-            canon.append(w)
+        got = _KNOWN.get(raw)
+        if got is None:
+            got = _KNOWN[raw] = _word(raw)
+            if len(_KNOWN) > KNOWN_WORDS:
+                _KNOWN.clear()
+        w, c = got
+        if w:
+            words.append(w)
+            canon.append("<unit>" if w in UNITS and canon and canon[-1] == "<num>" and c != "<num>" else c)
     return words, canon
 
 
@@ -109,8 +117,8 @@ class Items:
         keys, self.item, self.at = keys[order], item[order], at[order]
         self.keys, self.start, self.n = np.unique(keys, return_index=True, return_counts=True)
         self.numbers: dict[str, int] = {}
-        self.word_sets = [np.unique([self.numbers.setdefault(x, len(self.numbers) + 1) for x in w]) for w in self.words]
-        self.canon_sets = [np.unique([vocabulary[x] for x in c]) for c in self.canon]
+        self.word_sets = [frozenset(self.numbers.setdefault(x, len(self.numbers) + 1) for x in w) for w in self.words]
+        self.canon_sets = [frozenset(vocabulary[x] for x in c) for c in self.canon]
         self.df = np.array([len(np.unique(self.item[s : s + n])) for s, n in zip(self.start, self.n)], dtype=np.int64)
 
     def candidates(self, canon: list[str]) -> dict[int, tuple[int, int]]:
@@ -133,11 +141,17 @@ class Items:
         return {i: places[i] for i in every if len(rare[i]) >= LEAST_RARE or len(every[i]) >= LEAST_ALL}
 
 
-def dense(ids: np.ndarray, own: np.ndarray, least: float) -> bool:
+def dense(ids: list[int], own: frozenset[int], least: float) -> bool:
     """Whether some MIN_WORDS + SLACK successive words hold at least ``least`` words of the item, as every passage to be found does."""
-    run = np.concatenate(([0], np.cumsum(np.isin(ids, own))))
-    width = min(MIN_WORDS + SLACK, len(ids))
-    return bool((run[width:] - run[:-width]).max(initial=0) >= least) if width else False
+    if sum(map(own.__contains__, ids)) < least:
+        return False
+    width, inside = MIN_WORDS + SLACK, 0
+    flags = [x in own for x in ids]
+    for k, f in enumerate(flags):
+        inside += f - (flags[k - width] if k >= width else False)
+        if inside >= least:
+            return True
+    return False
 
 
 def align(a: list[str], b: list[str]) -> tuple[int, int, list[tuple[int, int]]]:
@@ -205,8 +219,8 @@ def judge(items: Items, text: str | None) -> list[tuple[int, str, int, int]]:
     found = items.candidates(canon)
     if not found:
         return []
-    ids = np.array([items.numbers.get(w, 0) for w in words])
-    slot_ids = np.array([items.vocabulary.get(w, 0) for w in canon])
+    ids = [items.numbers.get(w, 0) for w in words]
+    slot_ids = [items.vocabulary.get(w, 0) for w in canon]
     out = []
     for n, places in found.items():
         item, slots = items.words[n], items.canon[n]
