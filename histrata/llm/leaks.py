@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import html
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -119,26 +118,35 @@ class Items:
         self.numbers: dict[str, int] = {}
         self.word_sets = [frozenset(self.numbers.setdefault(x, len(self.numbers) + 1) for x in w) for w in self.words]
         self.canon_sets = [frozenset(vocabulary[x] for x in c) for c in self.canon]
+        number = np.repeat(np.arange(len(self.keys)), self.n)
+        self.windows = self._windows(number)
         self.df = np.array([len(np.unique(self.item[s : s + n])) for s, n in zip(self.start, self.n)], dtype=np.int64)
 
-    def candidates(self, canon: list[str]) -> dict[int, tuple[int, int]]:
-        """Items that share enough windows with the document's canonical words: item number -> (first, last) window."""
+    def _windows(self, number: np.ndarray) -> list[frozenset[int]]:
+        """The windows of each item."""
+        out: list[set[int]] = [set() for _ in self.ids]
+        for i, w in zip(self.item.tolist(), number.tolist()):
+            out[i].add(w)
+        return [frozenset(x) for x in out]
+
+    def candidates(self, canon: list[str]) -> dict[int, list[int]]:
+        """Items that share enough windows with the document's canonical words: item number -> places of the windows."""
         get = self.vocabulary.get
         h = window_hashes(np.array([get(x, 0) for x in canon], dtype=np.int64))
         if not len(h) or not len(self.keys):
             return {}
         k = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-        hit = np.flatnonzero(self.keys[k] == h)
-        rare, every, places = defaultdict(set), defaultdict(set), defaultdict(list)
-        for p in hit:
-            w = k[p]
-            s, n, few = self.start[w], self.n[w], self.df[w] <= RARE
-            for i in self.item[s : s + n].tolist():
-                every[i].add(w)
-                places[i].append(int(p))
-                if few:
-                    rare[i].add(w)
-        return {i: places[i] for i in every if len(rare[i]) >= LEAST_RARE or len(every[i]) >= LEAST_ALL}
+        at = np.flatnonzero(self.keys[k] == h)
+        if not len(at):
+            return {}
+        met = np.unique(k[at])
+        n = self.n[met]
+        flat = np.repeat(self.start[met] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+        item = self.item[flat]
+        every = np.bincount(item, minlength=len(self.ids))
+        rare = np.bincount(item[np.repeat(self.df[met] <= RARE, n)], minlength=len(self.ids))
+        hits = list(zip(at.tolist(), k[at].tolist()))
+        return {int(i): [p for p, w in hits if w in self.windows[i]] for i in np.flatnonzero((rare >= LEAST_RARE) | (every >= LEAST_ALL))}
 
 
 def dense(ids: list[int], own: frozenset[int], least: float) -> bool:
