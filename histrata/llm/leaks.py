@@ -63,13 +63,17 @@ def _word(raw: str) -> tuple[str, str]:
     return w, "<num>" if _NUMBER.fullmatch(core) else "<name>" if w not in UNITS and _NAME.search(core) else w
 
 
+def pieces_of(text: str) -> list[str]:
+    """The raw words of a text without markup and line heads."""
+    return _LEAD.sub(" ", _LINK.sub("] ", _TAG.sub("", html.unescape(text) if "&" in text else text))).split()
+
+
 def words_of(text: str | None) -> tuple[list[str], list[str]]:
     """The words of a text without layout and markup, and the canonical form of each."""
     if not text:
         return [], []
-    text = _LEAD.sub(" ", _LINK.sub("] ", _TAG.sub("", html.unescape(text) if "&" in text else text)))
     words, canon = [], []
-    for raw in text.split():
+    for raw in pieces_of(text):
         got = _KNOWN.get(raw)
         if got is None:
             got = _KNOWN[raw] = _word(raw)
@@ -116,6 +120,7 @@ class Items:
         keys, self.item, self.at = keys[order], item[order], at[order]
         self.keys, self.start, self.n = np.unique(keys, return_index=True, return_counts=True)
         self.numbers: dict[str, int] = {}
+        self.known: dict[str, tuple] = {}
         self.word_sets = [frozenset(self.numbers.setdefault(x, len(self.numbers) + 1) for x in w) for w in self.words]
         self.canon_sets = [frozenset(vocabulary[x] for x in c) for c in self.canon]
         number = np.repeat(np.arange(len(self.keys)), self.n)
@@ -129,10 +134,29 @@ class Items:
             out[i].add(w)
         return [frozenset(x) for x in out]
 
-    def candidates(self, canon: list[str]) -> dict[int, list[int]]:
+    def encode(self, text: str) -> tuple[list[str], list[str], list[int], list[int]]:
+        """Words, canonical words, and the numbers of both (0: in no item)."""
+        words, canon, ids, slots, known, unit = [], [], [], [], self.known, self.vocabulary.get("<unit>", 0)
+        for raw in pieces_of(text):
+            got = known.get(raw)
+            if got is None:
+                w, c = _word(raw)
+                got = known[raw] = (w, c, self.numbers.get(w, 0), self.vocabulary.get(c, 0), w in UNITS)
+                if len(known) > KNOWN_WORDS:
+                    known.clear()
+            w, c, i, k, is_unit = got
+            if w:
+                if is_unit and canon and canon[-1] == "<num>" and c != "<num>":
+                    c, k = "<unit>", unit
+                words.append(w)
+                canon.append(c)
+                ids.append(i)
+                slots.append(k)
+        return words, canon, ids, slots
+
+    def candidates(self, slots: list[int]) -> dict[int, list[int]]:
         """Items that share enough windows with the document's canonical words: item number -> places of the windows."""
-        get = self.vocabulary.get
-        h = window_hashes(np.array([get(x, 0) for x in canon], dtype=np.int64))
+        h = window_hashes(np.array(slots, dtype=np.int64))
         if not len(h) or not len(self.keys):
             return {}
         k = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
@@ -223,12 +247,10 @@ def slices(found: list[tuple[int, int]], n: int, item: int) -> Iterator[tuple[in
 
 def judge(items: Items, text: str | None) -> list[tuple[int, str, int, int]]:
     """(item_id, kind, words of the item's passage, agreeing words) of every item that leaked into a text."""
-    words, canon = words_of(text)
-    found = items.candidates(canon)
-    if not found:
+    if not text:
         return []
-    ids = [items.numbers.get(w, 0) for w in words]
-    slot_ids = [items.vocabulary.get(w, 0) for w in canon]
+    words, canon, ids, slot_ids = items.encode(text)
+    found = items.candidates(slot_ids)
     out = []
     for n, places in found.items():
         item, slots = items.words[n], items.canon[n]
