@@ -54,8 +54,11 @@ def prefix_matches(store: DataFrame, prefixes: DataFrame) -> DataFrame:
 
     Joined on the prefix cut to each length that occurs, so no pairs are formed by comparison.
     """
-    sizes = prefixes.select(F.length("prefix").alias("k")).distinct()
-    cut = store.select("oid").distinct().join(F.broadcast(sizes), F.col("k") <= F.length("oid")).select(F.expr("substring(oid, 1, k)").alias("prefix"), "oid")
+    sizes = sorted(r[0] for r in prefixes.where(F.col("prefix").isNotNull()).select(F.length("prefix")).distinct().collect())  # at most as many as an id has digits
+    if not sizes:
+        return prefixes.distinct().select("prefix", F.lit(0).cast("bigint").alias("n"), F.lit(None).cast("string").alias("oid"))
+    each = F.explode(F.array(*[F.substring("oid", 1, k) for k in sizes]))
+    cut = store.where(F.col("oid").isNotNull()).select("oid").distinct().select(each.alias("prefix"), "oid").distinct()
     found = cut.groupBy("prefix").agg(F.count(F.lit(1)).alias("n"), F.min("oid").alias("oid"))
     return prefixes.distinct().join(found, "prefix", "left").select("prefix", F.coalesce("n", F.lit(0)).alias("n"), F.when(F.col("n") == 1, F.col("oid")).alias("oid"))
 
@@ -87,11 +90,12 @@ def match_specs(refs: DataFrame, specs: DataFrame) -> DataFrame:
 def rewrite_urls(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """For urls (url): (url, rewritten) by the rule (ord, prefix, replacement) of the longest prefix, the first of equals.
 
-    Rules are a handful of configuration rows: joined as a broadcast while small.
+    Rules are a handful of configuration rows: they are compiled into one expression, longest prefix first.
     """
-    hit = urls.select("url").distinct().join(rules, F.expr("startswith(url, prefix)"))
-    best = hit.groupBy("url").agg(F.min_by(F.struct("prefix", "replacement"), F.struct(-F.length("prefix"), "ord")).alias("x"))
-    return urls.join(best, "url", "left").select("url", F.when(F.col("x").isNull(), F.col("url")).otherwise(F.concat("x.replacement", F.expr("substring(url, length(x.prefix) + 1)"))).alias("rewritten"))
+    out = F.col("url")
+    for r in sorted(rules.select("ord", "prefix", "replacement").collect(), key=lambda r: (len(r["prefix"]), -r["ord"])):
+        out = F.when(F.col("url").startswith(r["prefix"]), F.concat(F.lit(r["replacement"]), F.substring(F.col("url"), F.lit(len(r["prefix"]) + 1), F.length("url")))).otherwise(out)
+    return urls.select("url", out.alias("rewritten"))
 
 
 def update_plan(local: DataFrame, remote: DataFrame, specs: DataFrame) -> DataFrame:

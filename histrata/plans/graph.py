@@ -38,7 +38,7 @@ def g4_first_parents(spark, base):
     """The first-parent chain of every tip, with the distance."""
     t = RepoTables(spark, base)
     f = G.Forest(t)
-    tips = _tips(t).select("oid").distinct()
+    tips = _tips(t).select("oid").distinct().join(f.endless, "oid", "left_anti")
     return f.paths.join(tips, "oid").select(F.col("oid").alias("tip"), "depth", F.posexplode("path").alias("at", "oid")).select("tip", "oid", (F.col("depth") - F.col("at")).alias("distance"))
 
 
@@ -120,6 +120,7 @@ def g19_tips_of(spark, base):
 
 _REACH = "r AS (SELECT DISTINCT repo, oid FROM refs WHERE kind = 'hash' AND oid IN (SELECT oid FROM c) UNION SELECT r.repo, k.parent FROM r JOIN k ON r.oid = k.child)"
 _PAIRS = "w AS (SELECT a AS s, a AS oid FROM h UNION SELECT b, b FROM h UNION SELECT w.s, k.parent FROM w JOIN k ON w.oid = k.child)"
+_GEN = f"{_WITH}, fp AS (SELECT child, parent FROM k WHERE ord = 0), t AS (SELECT oid FROM c WHERE oid NOT IN (SELECT child FROM fp) UNION SELECT fp.child FROM t JOIN fp ON fp.parent = t.oid), r AS (SELECT oid, 1 AS g FROM t UNION SELECT k.child, r.g + 1 FROM r JOIN k ON k.parent = r.oid JOIN t ON t.oid = k.child)"
 QUERIES = {f.__name__: f for f in (g1_log, g2_reachable, g2_dfs_walk, g4_first_parents, g5_levels, g6_ctime_walk, g11_merge_base, g12_is_ancestor, g13_independents, g14_ahead_behind, g15_rev_list, g19_tips_of, g20_unreachable, g23_shallow, g30_topo_walk, g31_date_order, g35_generations)}
 ORACLE = {
     "g1_log": f"WITH {SQL} SELECT repo, oid, committer_when FROM c WHERE committer_when BETWEEN TIMESTAMP '2022-06-01 00:00:00' AND TIMESTAMP '2023-06-30 23:59:59'",
@@ -132,5 +133,8 @@ ORACLE = {
     "g14_ahead_behind": f"{_WITH}, {_HEADS}, {_PAIRS} SELECT a, b, (SELECT count(*) FROM w x WHERE x.s = h.a AND x.oid NOT IN (SELECT y.oid FROM w y WHERE y.s = h.b)) AS ahead, (SELECT count(*) FROM w x WHERE x.s = h.b AND x.oid NOT IN (SELECT y.oid FROM w y WHERE y.s = h.a)) AS behind FROM h",
     "g15_rev_list": f"{_WITH}, {_HEADS}, {_PAIRS} SELECT h.repo, x.oid FROM h JOIN w x ON x.s = h.b WHERE NOT EXISTS (SELECT 1 FROM w y WHERE y.s = h.a AND y.oid = x.oid)",
     "g19_tips_of": f"{_WITH}, r AS (SELECT DISTINCT oid AS s, oid FROM refs WHERE kind = 'hash' AND oid IN (SELECT oid FROM c) UNION SELECT r.s, k.parent FROM r JOIN k ON r.oid = k.child) SELECT oid, count(*) AS n_tips FROM r GROUP BY oid",
+    "g4_first_parents": f"{_WITH}, q AS (SELECT DISTINCT oid FROM refs WHERE kind = 'hash' AND oid IN (SELECT oid FROM c)), fp AS (SELECT child, parent FROM k WHERE ord = 0), w AS (SELECT oid AS tip, oid, 0 AS distance FROM q UNION ALL SELECT w.tip, fp.parent, w.distance + 1 FROM w JOIN fp ON fp.child = w.oid WHERE w.distance < 1500), e AS (SELECT DISTINCT tip FROM w WHERE distance = 1500) SELECT tip, oid, CAST(distance AS BIGINT) AS distance FROM w WHERE tip NOT IN (SELECT tip FROM e)",
+    "g35_generations": f"{_GEN} SELECT oid, CAST(max(g) AS BIGINT) AS generation FROM r GROUP BY oid",
+    "g31_date_order": f"{_GEN} SELECT c.repo, c.oid, -CAST(max(g) AS BIGINT) AS key1, c.committer_when FROM r JOIN c ON c.oid = r.oid GROUP BY c.repo, c.oid, c.committer_when",
     "g23_shallow": f"{_WITH}, r AS (SELECT DISTINCT repo, oid, 0 AS level FROM refs WHERE kind = 'hash' AND oid IN (SELECT oid FROM c) UNION SELECT r.repo, k.parent, r.level + 1 FROM r JOIN k ON r.oid = k.child WHERE r.level < 2), m AS (SELECT repo, oid, min(level) AS level FROM r GROUP BY repo, oid) SELECT repo, oid, level = 2 AND oid IN (SELECT child FROM edges) AS shallow FROM m",
 }

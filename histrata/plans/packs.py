@@ -66,6 +66,7 @@ ORACLE = {
     "w2_window_candidates": r"WITH o AS (SELECT lower(regexp_replace(oid, '^\s+|\s+$', '', 'g')) AS oid, obj_type, max(obj_size) AS obj_size FROM pack_entries WHERE oid IS NOT NULL AND obj_size IS NOT NULL AND obj_type IN ('commit', 'tree', 'blob', 'tag') GROUP BY 1, 2), w AS (SELECT *, row_number() OVER x AS k, lag(oid) OVER x AS nearest FROM o WINDOW x AS (PARTITION BY obj_type ORDER BY obj_size DESC, oid)) SELECT oid, obj_type, CAST(least(k - 1, 10) AS BIGINT) AS n_bases, nearest FROM w",
     "s21_repeated": r"SELECT lower(regexp_replace(oid, '^\s+|\s+$', '', 'g')) AS oid, count(*) AS n, count(DISTINCT pack) AS packs FROM pack_entries WHERE oid IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
     "a5_totals": "SELECT obj_type, count(*) AS n, CAST(sum(obj_size) AS BIGINT) AS bytes FROM pack_entries GROUP BY obj_type",
+    "f28_remote_config": "SELECT repo, 1 AS scope, 'remote' AS section, name AS subsection, 'url' AS key, 0 AS ord, url AS value FROM remotes UNION ALL SELECT repo, 1, 'remote', name, 'fetch', unnest(range(1, len(fetch_specs) + 1)), unnest(fetch_specs) FROM remotes",
     "y17_remotes_back": "SELECT repo, name, url, coalesce(array_to_string(fetch_specs, ' '), '') AS specs FROM remotes",
     "a10_overlay": "WITH c AS (SELECT repo || ':' || name AS subsection, url, fetch_specs FROM remotes) SELECT 'remote' AS section, subsection, 'url' AS key, coalesce(nullif(url, ''), 'default') AS value FROM c UNION ALL SELECT 'remote', subsection, 'prune', 'default' FROM c UNION ALL SELECT 'remote', subsection, 'fetch', list_filter(fetch_specs, lambda x: x IS NOT NULL AND x <> '')[-1] FROM c WHERE len(list_filter(fetch_specs, lambda x: x IS NOT NULL AND x <> '')) > 0",
 }
