@@ -403,10 +403,6 @@ def given_names(commits: DataFrame) -> set[str]:
     return {x for x in found | table if x not in ORDINARY and x not in ORGS}
 
 
-def tagger(commits: DataFrame) -> Tagger:
-    return Tagger(load_weights(), given_names(commits))
-
-
 def _once(commits: DataFrame) -> DataFrame:
     return commits.where(F.col("oid").isNotNull() & F.col("message").isNotNull()).select("oid", "message").distinct()
 
@@ -417,11 +413,12 @@ def kinds(commits: DataFrame) -> DataFrame:
     ``commits``: oid, message, author_name, committer_name. Null oids and messages are left out,
     repeated rows count once, an empty table gives an empty result. Very long messages are read whole.
     """
-    model = commits.sparkSession.sparkContext.broadcast(tagger(commits))
+    model = commits.sparkSession.sparkContext.broadcast((load_weights(), given_names(commits)))
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tagger = Tagger(*model.value)
         for pdf in it:
-            rows = [(o, k) for o, t in zip(pdf["oid"], pdf["message"]) for k in {x[2] for x in model.value.find(t)}]
+            rows = [(o, k) for o, t in zip(pdf["oid"], pdf["message"]) for k in {x[2] for x in tagger.find(t)}]
             yield pd.DataFrame(rows, columns=["oid", "pii_kind"])
 
     return _once(commits).mapInPandas(run, "oid string, pii_kind string").distinct()
@@ -429,10 +426,11 @@ def kinds(commits: DataFrame) -> DataFrame:
 
 def redacted(commits: DataFrame) -> DataFrame:
     """(oid, redacted, n_spans): every distinct message with personal information replaced by typed placeholders."""
-    model = commits.sparkSession.sparkContext.broadcast(tagger(commits))
+    model = commits.sparkSession.sparkContext.broadcast((load_weights(), given_names(commits)))
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tagger = Tagger(*model.value)
         for pdf in it:
-            yield pd.DataFrame({"oid": pdf["oid"], "redacted": [model.value.redact(t) for t in pdf["message"]], "n_spans": [len(model.value.find(t)) for t in pdf["message"]]})
+            yield pd.DataFrame({"oid": pdf["oid"], "redacted": [tagger.redact(t) for t in pdf["message"]], "n_spans": [len(tagger.find(t)) for t in pdf["message"]]})
 
     return _once(commits).mapInPandas(run, "oid string, redacted string, n_spans int")
