@@ -235,18 +235,19 @@ class Learned:
         twins = every.alias("w").join(boned.alias("v"), F.col("w.bone") == F.col("v.bone")).where(shown & (F.col("w.word") != F.col("v.word"))).select(F.col("w.word").alias("word"), F.col("v.word").alias("twin"), F.col("v.n").alias("n"))
         self.twins = self.scratch.save(twins.mapInPandas(_votes, "word string, twin string, n bigint, garbled string, clean string, pair string"))
         # words re-read under each pair
-        again = clean.where(F.length("word") >= 2).mapInPandas(_readings, "word string, n bigint, reading string, pair string")
+        again = vocabulary.where(F.length("word") >= 2).mapInPandas(_readings, "word string, n bigint, reading string, pair string")
         hits = again.alias("w").join(clean.alias("v"), F.col("w.reading") == F.col("v.word")).where(shown).select("w.word", "w.reading", "w.pair", F.col("v.n").alias("n"))
         self.hits = self.scratch.save(hits)
         voted = self.twins.where(~F.col("pair").endswith(">lost")).select("pair", "word").unionByName(self.hits.select("pair", "word")).groupBy("pair").agg(F.count_distinct("word").alias("votes"))
         self.voted = self.scratch.save(voted.where(F.col("votes") >= VOTES))
         sure = self.hits.join(F.broadcast(self.voted), "pair").groupBy("word").agg(F.max_by("reading", F.struct("votes", "n", "reading")).alias("reading"), F.max_by("pair", F.struct("votes", "n", "reading")).alias("pair"))
-        learned = words.join(sure, "word").groupBy("token").agg(F.min_by("word", "word").alias("word"), F.min_by("reading", "word").alias("reading"), F.min_by("pair", "word").alias("pair"))
-        learned = learned.join(self.direct, "token", "left_anti").select("token", F.expr("replace(token, word, reading)").alias("restored"), "pair")
+        read_again = self.scratch.save(words.join(sure, "word").groupBy("token").agg(F.min_by("word", "word").alias("word"), F.min_by("reading", "word").alias("reading"), F.min_by("pair", "word").alias("pair")))
+        learned = read_again.join(self.direct, "token", "left_anti").select("token", F.expr("replace(token, word, reading)").alias("restored"), "pair")
         # replacement signs: the one frequent word with the same skeleton and as many lost characters
         back = self.twins.where(F.col("pair").endswith(">lost")).groupBy("word").agg(F.count_distinct("twin").alias("k"), F.max_by("twin", F.struct("n", "twin")).alias("twin")).where("k = 1")
         saved = words.join(back, "word").groupBy("token").agg(F.min_by("word", "word").alias("word"), F.min_by("twin", "word").alias("twin"))
-        fixed = self.direct.join(saved, "token", "left").select("token", F.coalesce("restored", F.expr("replace(token, word, twin)")).alias("restored"), "pair")
+        again = read_again.select("token", F.expr("replace(token, word, reading)").alias("reread"))
+        fixed = self.direct.join(saved, "token", "left").join(again, "token", "left").select("token", F.coalesce("restored", F.expr("replace(token, word, twin)"), "reread").alias("restored"), "pair")
         self.tokens = self.scratch.save(fixed.unionByName(learned))
         self.messages = messages
 
