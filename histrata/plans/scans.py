@@ -181,7 +181,7 @@ def y36_url_kinds(spark, base):
     return RepoTables(spark, base).remotes.select("url", N.url_kind(F.col("url")).alias("kind")).distinct()
 
 
-@q()
+@q("WITH o AS (SELECT repo, ref_name AS name, arg_max(old_oid, seq) AS top, count(*) FILTER (WHERE old_oid IS NULL AND seq = m) > 0 AS none, max(seq) AS s FROM (SELECT *, max(seq) OVER (PARTITION BY repo, ref_name) AS m FROM (SELECT DISTINCT * FROM reflog)) GROUP BY 1, 2), l AS (SELECT repo, name, CASE WHEN none THEN NULL ELSE top END AS oid FROM o) SELECT r.repo, r.name, r.name AS dst, l.oid AS old_oid, r.oid AS new_oid, CASE WHEN l.oid IS NULL THEN 'create' ELSE 'update' END AS action FROM refs r LEFT JOIN l ON l.repo = r.repo AND l.name = r.name WHERE r.name LIKE 'refs/heads/%' AND r.oid IS NOT NULL AND l.oid IS DISTINCT FROM r.oid")
 def u8_update_plan(spark, base):
     t = RepoTables(spark, base)
     old = t.reflog.groupBy("repo", F.col("ref_name").alias("name")).agg(F.max_by("old_oid", "seq").alias("oid"))
