@@ -51,6 +51,7 @@ class Scratch:
         self.paths: dict[int, str] = {}
         path = spark._jvm.org.apache.hadoop.fs.Path(self.base)
         self.fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        self.fs.mkdirs(path)
         self.fs.deleteOnExit(path)
 
     def save(self, df: DataFrame) -> DataFrame:
