@@ -1,21 +1,33 @@
 import os
 
-from histrata.functions.runtime import Scratch, parts_for, shared_folder
-
-
-def test_scratch_tables(spark, tmp_path):
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
-    try:
-        assert shared_folder(spark) == f"file://{tmp_path}"
-        s = Scratch(spark, "x")
-        a = s.save(spark.range(5))
-        b = s.save(a.where("id > 2"))
-        assert b.count() == 2 and len([d for d, _, f in os.walk(tmp_path) if any(x.endswith(".parquet") for x in f)]) == 2
-        s.release(a, None, spark.range(1))
-        assert b.count() == 2 and len([d for d, _, f in os.walk(tmp_path) if any(x.endswith(".parquet") for x in f)]) == 1
-        assert s.save(spark.range(3).where("id > 9")).count() == 0
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+from histrata.functions import runtime
+from histrata.functions.runtime import Scratch, parts_for
+
+
+def files(folder):
+    return len([d for d, _, f in os.walk(folder) if any(x.endswith(".parquet") for x in f)])
+
+
+def test_scratch_tables(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(runtime, "shared_folder", lambda s: f"file://{tmp_path}")
+    s = Scratch(spark, "x")
+    a = s.save(spark.range(5))
+    b = s.save(a.where("id > 2"))
+    assert b.count() == 2 and files(tmp_path) == 2
+    s.release(a, None, spark.range(1))
+    assert b.count() == 2 and files(tmp_path) == 1
+    assert s.save(spark.range(3).where("id > 9")).count() == 0
+
+
+def test_shared_folder(spark):
+    class Named:
+        class conf:
+            @staticmethod
+            def get(key, default):
+                return "hdfs://x/y"
+
+    assert runtime.shared_folder(Named) == "hdfs://x/y"
+    assert runtime.shared_folder(spark).startswith("file:///")
 
 
 def test_parts():
