@@ -27,7 +27,8 @@ def test_shared_folder(spark):
                 return "hdfs://x/y"
 
     assert runtime.shared_folder(Named) == "hdfs://x/y"
-    assert runtime.shared_folder(spark).startswith("file:///")
+    own = runtime.shared_folder(spark)
+    assert own == spark.conf.get("spark.checkpoint.dir", None) or own.startswith("file:///")
 
 
 def test_parts():
