@@ -10,7 +10,7 @@ commit, and the cut link is one more link to start anew from.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.runtime import Scratch, parts_for
@@ -21,9 +21,13 @@ from .tables import RepoTables
 class Forest:
     """The first-parent forest of all commits: paths, intervals and the edges that leave it."""
 
-    def __init__(self, tables: RepoTables):
+    def __init__(self, tables: RepoTables, stop: Column | None = None):
+        """``stop``: a condition on commit columns; commits it holds of count as without parents."""
         self.scratch = Scratch(tables.spark, "forest")
-        slim = self.scratch.save(tables.slim)
+        slim = tables.slim
+        if stop is not None:
+            slim = slim.withColumn("parents", F.when(~F.coalesce(stop, F.lit(False)), F.col("parents")))
+        slim = self.scratch.save(slim)
         self.commits = slim
         links = slim.select("oid", F.get(F.col("parents"), F.lit(0)).alias("parent"))
         nodes, self.rows = numbered(links, "oid", "parent", self.scratch)
@@ -54,6 +58,30 @@ class Forest:
             if before is not None:
                 new = new.join(seen, ["label", "oid"], "left_anti")
 
+    def levels(self, starts: DataFrame) -> DataFrame:
+        """For starts (label, oid): (label, oid, level) of everything each label reaches, with the least number of parent steps.
+
+        A start gives levels to its whole path at once; what gets a lower level than before starts
+        anew at its jumps, until nothing gets lower. Rounds are as many as a shortest way has jumps.
+        """
+        known = self.commits.select("oid")
+        new = starts.select("label", "oid").where(F.col("oid").isNotNull()).distinct().join(known, "oid", "left_semi").select("label", "oid", F.lit(0).cast("bigint").alias("level"))
+        seen = None
+        while True:
+            path = new.join(self.paths.select("oid", "depth", "path"), "oid").select("label", (F.col("level") + F.col("depth")).alias("_top"), F.posexplode("path").alias("_at", "oid"))
+            low = path.groupBy("label", "oid").agg(F.min(F.col("_top") - F.col("_at")).alias("level"))
+            if seen is not None:
+                old = seen.withColumnRenamed("level", "_old")
+                low = low.join(old, ["label", "oid"], "left").where("_old IS NULL OR level < _old").select("label", "oid", "level")
+            fresh = self.scratch.save(low)
+            if fresh.isEmpty():
+                return fresh if seen is None else seen
+            if seen is None:
+                seen = fresh
+            else:
+                seen = self.scratch.save(seen.unionByName(fresh).groupBy("label", "oid").agg(F.min("level").alias("level")))
+            new = fresh.join(self.jumps, fresh["oid"] == self.jumps["child"]).groupBy("label", F.col("parent").alias("oid")).agg((F.min("level") + 1).alias("level"))
+
     def ancestor_max(self, values: DataFrame) -> DataFrame:
         """For values (oid, value): (oid, top), the largest value on each node's path from the root, itself included."""
         buckets = parts_for(self.rows, ROWS_PER_BUCKET, 8)

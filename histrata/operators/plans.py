@@ -64,6 +64,12 @@ def filtered_levels(t: RepoTables, starts: DataFrame, valid: Column, stop: Colum
     return seen.where("_v").select("label", "oid", "level")
 
 
+def whole_filtered_levels(t: RepoTables, starts: DataFrame, valid: Column, stop: Column) -> DataFrame:
+    """The walk of ``filtered_levels`` over the whole history: what ``stop`` holds of counts as without parents."""
+    shown = t.slim.where(F.coalesce(valid, F.lit(False))).select("oid")
+    return Forest(t, stop).levels(starts).join(shown, "oid", "left_semi").select("label", "oid", "level")
+
+
 def objects_of(commits: DataFrame, trees: DataFrame, entries: DataFrame, scratch: Scratch, levels: int = 1024) -> DataFrame:
     """(label, oid, type): commits (label, oid), their trees (oid, tree_oid), and all that hangs below by entries (tree_oid, mode, oid); submodules are passed over."""
     new = scratch.save(commits.join(trees, "oid").select("label", F.col("tree_oid").alias("oid")).distinct())

@@ -48,6 +48,12 @@ def g5_levels(spark, base):
     return G.levels(t, _tips(t), 5, Scratch(spark, "levels")).select(F.col("label").alias("repo"), "oid", F.col("level").cast("bigint").alias("level"))
 
 
+def g5_whole_levels(spark, base):
+    """Breadth-first levels from every repository's tips, over the whole history."""
+    t = RepoTables(spark, base)
+    return G.Forest(t).levels(_tips(t)).select(F.col("label").alias("repo"), "oid", "level")
+
+
 def g11_merge_base(spark, base):
     t = RepoTables(spark, base)
     return G.merge_bases(G.Forest(t), _heads(t).select("a", "b"))
@@ -121,12 +127,13 @@ def g19_tips_of(spark, base):
 _REACH = "r AS (SELECT DISTINCT repo, oid FROM refs WHERE kind = 'hash' AND oid IN (SELECT oid FROM c) UNION SELECT r.repo, k.parent FROM r JOIN k ON r.oid = k.child)"
 _PAIRS = "w AS (SELECT a AS s, a AS oid FROM h UNION SELECT b, b FROM h UNION SELECT w.s, k.parent FROM w JOIN k ON w.oid = k.child)"
 _GEN = f"{_WITH}, fp AS (SELECT child, parent FROM k WHERE ord = 0), t AS (SELECT oid FROM c WHERE oid NOT IN (SELECT child FROM fp) UNION SELECT fp.child FROM t JOIN fp ON fp.parent = t.oid), r AS (SELECT oid, 1 AS g FROM t UNION SELECT k.child, r.g + 1 FROM r JOIN k ON k.parent = r.oid JOIN t ON t.oid = k.child)"
-QUERIES = {f.__name__: f for f in (g1_log, g2_reachable, g2_dfs_walk, g4_first_parents, g5_levels, g6_ctime_walk, g11_merge_base, g12_is_ancestor, g13_independents, g14_ahead_behind, g15_rev_list, g19_tips_of, g20_unreachable, g23_shallow, g30_topo_walk, g31_date_order, g35_generations)}
+QUERIES = {f.__name__: f for f in (g1_log, g2_reachable, g2_dfs_walk, g4_first_parents, g5_levels, g5_whole_levels, g6_ctime_walk, g11_merge_base, g12_is_ancestor, g13_independents, g14_ahead_behind, g15_rev_list, g19_tips_of, g20_unreachable, g23_shallow, g30_topo_walk, g31_date_order, g35_generations)}
 ORACLE = {
     "g1_log": f"WITH {SQL} SELECT repo, oid, committer_when FROM c WHERE committer_when BETWEEN TIMESTAMP '2022-06-01 00:00:00' AND TIMESTAMP '2023-06-30 23:59:59'",
     "g2_reachable": f"{_WITH}, {_REACH} SELECT repo, oid FROM r",
     "g20_unreachable": f"{_WITH}, {_REACH} SELECT c.repo, c.oid FROM c WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.repo = c.repo AND r.oid = c.oid)",
     "g5_levels": f"{_WITH}, r AS (SELECT DISTINCT repo, oid, 0 AS level FROM refs WHERE kind = 'hash' AND oid IN (SELECT oid FROM c) UNION SELECT r.repo, k.parent, r.level + 1 FROM r JOIN k ON r.oid = k.child WHERE r.level < 5) SELECT repo, oid, CAST(min(level) AS BIGINT) AS level FROM r GROUP BY repo, oid",
+    "g5_whole_levels": f"{_WITH}, r(repo, oid, level) USING KEY (repo, oid) AS (SELECT DISTINCT repo, oid, CAST(0 AS BIGINT) FROM refs WHERE kind = 'hash' AND oid IN (SELECT oid FROM c) UNION SELECT DISTINCT r.repo, k.parent, r.level + 1 FROM r JOIN k ON r.oid = k.child WHERE NOT EXISTS (SELECT 1 FROM recurring.r o WHERE o.repo = r.repo AND o.oid = k.parent)) SELECT repo, oid, level FROM r",
     "g11_merge_base": f"{_WITH}, {_HEADS}, {_PAIRS}, m AS (SELECT h.a, h.b, x.oid FROM h JOIN w x ON x.s = h.a JOIN w y ON y.s = h.b AND x.oid = y.oid) SELECT a, b, oid AS base FROM m WHERE NOT EXISTS (SELECT 1 FROM m n JOIN k ON n.oid = k.child WHERE n.a = m.a AND n.b = m.b AND k.parent = m.oid)",
     "g12_is_ancestor": f"{_WITH}, {_HEADS}, {_PAIRS}, p AS (SELECT a, b FROM h UNION ALL SELECT b, a FROM h) SELECT a, b, EXISTS (SELECT 1 FROM w WHERE w.s = p.b AND w.oid = p.a) AS is_ancestor FROM p",
     "g13_independents": f"{_WITH}, q AS (SELECT DISTINCT repo, oid FROM refs WHERE kind = 'hash' AND oid IN (SELECT oid FROM c)), r AS (SELECT q.repo, k.parent AS oid FROM q JOIN k ON q.oid = k.child UNION SELECT r.repo, k.parent FROM r JOIN k ON r.oid = k.child) SELECT repo, oid FROM q WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.repo = q.repo AND r.oid = q.oid)",

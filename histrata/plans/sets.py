@@ -52,6 +52,14 @@ def g7_filtered_levels(spark, base):
     return got.select(F.col("label").alias("repo"), "oid", F.col("level").cast("bigint").alias("level"))
 
 
+@q(f"WITH RECURSIVE {SQL}, {_KNOWN}, r(label, oid, level) USING KEY (label, oid) AS (SELECT label, oid, CAST(0 AS BIGINT) FROM ({_TIP}) UNION SELECT DISTINCT r.label, k.parent, r.level + 1 FROM r JOIN k ON r.oid = k.child JOIN c ON c.oid = r.oid WHERE c.committer_when >= TIMESTAMP '2022-06-01' AND NOT EXISTS (SELECT 1 FROM recurring.r o WHERE o.label = r.label AND o.oid = k.parent)) SELECT r.label AS repo, r.oid, r.level FROM r JOIN c ON c.oid = r.oid WHERE len(c.parents) = 1")
+def g7_whole_filtered_levels(spark, base):
+    """Commits with one parent, not going beyond commits before June 2022, over the whole history."""
+    t = RepoTables(spark, base)
+    got = P.whole_filtered_levels(t, _tips(t), F.size("parents") == 1, F.col("committer_when") < F.lit("2022-06-01 00:00:00").cast("timestamp_ntz"))
+    return got.select(F.col("label").alias("repo"), "oid", "level")
+
+
 @q(f"{_DIFF} SELECT DISTINCT h.branch, h.oid FROM hist h JOIN d ON d.pair = h.oid WHERE d.path = 's0/p0'")
 def g10_path_log(spark, base):
     t = RepoTables(spark, base)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from histrata.functions.revision import resolve
 from histrata.functions.runtime import Scratch
 from histrata.operators import graph as G
+from histrata.operators import plans as P
 from histrata.operators.tables import RepoTables
 
 
@@ -128,3 +129,31 @@ def test_revisions(spark, world):
     fixes = [k for k in reach(p, ks[-1]) if ks.index(k) % 7 == 0]
     assert go("main^{/fix}") == [max(fixes)]
     assert go("nope") == []
+
+
+def _brute_levels(parents, starts, stop=frozenset()):
+    level, new = dict.fromkeys(starts, 0), list(starts)
+    while new:
+        new = [p for x in new if x not in stop for p in parents[x] if level.setdefault(p, level[x] + 1) == level[x] + 1]
+        new = list(dict.fromkeys(new))
+    return level
+
+
+def test_whole_levels(spark, tmp_path):
+    """Far below any depth limit, around a circle, and with a short cut that a later jump finds."""
+    parents = {f"c{i:03}": [f"c{i - 1:03}"] if i else [] for i in range(60)}
+    parents |= {"x0": ["x2"], "x1": ["x0"], "x2": ["x1", "c059"], "tip": ["c059", "m"], "m": ["n", "c010"], "n": ["m"], "gone": ["nowhere"]}
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(k, "r", p, t0 + dt.timedelta(days=-1 if k in ("c050", "m") else 1), t0, t0) for k, p in parents.items()]
+    spark.createDataFrame(rows, "oid string, repo string, parents array<string>, committer_when timestamp_ntz, author_when timestamp_ntz, received_at timestamp_ntz").write.parquet(f"{tmp_path}/commits.parquet")
+    t = RepoTables(spark, str(tmp_path))
+    parents = {k: [p for p in v if p in parents] for k, v in parents.items()}
+    starts = {"a": ["tip"], "b": ["x1", "c030"], "c": ["gone"]}
+    df = spark.createDataFrame([(k, v) for k, vs in starts.items() for v in vs * 2] + [("a", "nowhere"), ("a", None)], "label string, oid string")
+    got = sorted(map(tuple, G.Forest(t).levels(df).collect()))
+    assert got == sorted((k, *x) for k, v in starts.items() for x in _brute_levels(parents, v).items())
+    assert max(x[2] for x in got) > 40
+    cut = sorted(map(tuple, P.whole_filtered_levels(t, df, F.size("parents") == 1, F.col("committer_when") < F.lit(t0).cast("timestamp_ntz")).collect()))
+    single = {r[0] for r in rows if len(r[2]) == 1}
+    assert cut == sorted((k, *x) for k, v in starts.items() for x in _brute_levels(parents, v, {"c050", "m"}).items() if x[0] in single)
+    assert G.Forest(t).levels(df.where("false")).count() == 0
