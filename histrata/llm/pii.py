@@ -27,7 +27,7 @@ from .names import NICKNAMES, TITLES, fold
 
 KINDS = ("email", "phone", "id_number", "address", "person")
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "person": "[PERSON]"}
-#: A given name stands before so many surnames; the lexicon is shipped while it has at most so many names, the most frequent first.
+#: A given name stands before so many surnames; the names are shipped while they are at most so many, else joined with the words of the messages.
 GIVEN_SURNAMES, LEXICON = 3, 50_000
 
 #: Words beside personal information, in several languages.
@@ -393,14 +393,70 @@ def lattice_gradient(spans: list[tuple[int, int, list[str]]], gold: set[int], we
     return sum(score[k] for k, i in enumerate(order) if i in gold) - z, grad
 
 
-def given_names(commits: DataFrame) -> set[str]:
-    """Given names of authors and committers that stand before several surnames, and those of the nickname table."""
-    names = commits.select(F.explode(F.array("author_name", "committer_name")).alias("n")).where(F.col("n").rlike(r"^[^\W\d_]+ [^\W\d_]+")).distinct()
-    words = names.select(F.regexp_extract("n", r"^([^\W\d_]+) ", 1).alias("g"), F.regexp_extract("n", r" ([^\s]+)$", 1).alias("s")).where("g <> '' AND length(g) > 1")
-    often = words.groupBy("g").agg(F.count_distinct(F.lower("s")).alias("k")).where(F.col("k") >= GIVEN_SURNAMES).orderBy(F.desc("k"), "g").limit(LEXICON)
-    found = {fold(r[0]) for r in often.select("g").collect()}
-    table = set(NICKNAMES) | {n for v in NICKNAMES.values() for n in v}
-    return {x for x in found | table if x not in ORDINARY and x not in ORGS}
+def _given(commits: DataFrame) -> DataFrame:
+    """(g): first words of authors and committers, in any script, that stand before several surnames."""
+    names = commits.select(F.explode(F.array("author_name", "committer_name")).alias("n")).where(F.col("n").rlike(r"^[\p{L}\p{M}]+ \p{L}")).distinct()
+    words = names.select(F.regexp_extract("n", r"^([\p{L}\p{M}]+) ", 1).alias("g"), F.regexp_extract("n", r" ([^\s]+)$", 1).alias("s")).where("g <> '' AND length(g) > 1")
+    return words.groupBy("g").agg(F.count_distinct(F.lower("s")).alias("k")).where(F.col("k") >= GIVEN_SURNAMES).select("g")
+
+
+def _usable(names: set[str]) -> set[str]:
+    return {x for x in names if x not in ORDINARY and x not in ORGS}
+
+
+def _table() -> set[str]:
+    """The names of the nickname table."""
+    return _usable(set(NICKNAMES) | {n for v in NICKNAMES.values() for n in v})
+
+
+def given_names(commits: DataFrame) -> set[str] | None:
+    """Given names of authors and committers that stand before several surnames, and those of the nickname table; None if there are more than LEXICON."""
+    found = [r[0] for r in _given(commits).limit(LEXICON + 1).collect()]
+    return None if len(found) > LEXICON else _usable({fold(x) for x in found}) | _table()
+
+
+def asked(text: str | None) -> set[str]:
+    """The folded words of a text that may be looked up among the given names."""
+    out: set[str] = set()
+    for k, pattern in enumerate(PERSON if text else ()):
+        at = 0
+        while m := pattern.search(text, at):
+            parts = m.group().split()
+            out.update(fold(x) for w in parts for x in (w.strip(".,"), w.rstrip(",;:").strip(".,"), w))
+            out.update(fold(w.strip(".")) for w in re.findall(r"[\w'’-]+\.?", m.group()))
+            at = m.end() if k < 3 else m.start() + max(1, len(parts[0]))
+    return out
+
+
+def _asked_rows(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in it:
+        yield pd.DataFrame([(o, w) for o, t in zip(pdf["oid"], pdf["message"]) for w in asked(t)], columns=["oid", "w"])
+
+
+def _folded_rows(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in it:
+        yield pd.DataFrame({"w": sorted(_usable(set(map(fold, pdf["g"]))))}, dtype=object)
+
+
+def _with_names(commits: DataFrame) -> tuple[DataFrame, set[str]]:
+    """Distinct messages (oid, message, given), and the names to be shipped.
+
+    ``given`` is null while all names are shipped; if there are too many, it holds those learned names that the message has.
+    """
+    once, names = _once(commits), given_names(commits)
+    if names is not None:
+        return once.withColumn("given", F.lit(None).cast("array<string>")), names
+    learned = _given(commits).mapInPandas(_folded_rows, "w string").distinct()
+    here = once.mapInPandas(_asked_rows, "oid string, w string").distinct().join(learned, "w").groupBy("oid").agg(F.collect_set("w").alias("given"))
+    return once.join(here, "oid", "left").select("oid", "message", "given"), _table()
+
+
+def _taggers(model: tuple[dict, set[str]], given: pd.Series) -> Iterator[Tagger]:
+    """A tagger for each message."""
+    weights, names = model
+    every = Tagger(weights, names)
+    for g in given:
+        yield every if g is None else Tagger(weights, names.union(g))
 
 
 def _once(commits: DataFrame) -> DataFrame:
@@ -413,24 +469,25 @@ def kinds(commits: DataFrame) -> DataFrame:
     ``commits``: oid, message, author_name, committer_name. Null oids and messages are left out,
     repeated rows count once, an empty table gives an empty result. Very long messages are read whole.
     """
-    model = commits.sparkSession.sparkContext.broadcast((load_weights(), given_names(commits)))
+    texts, names = _with_names(commits)
+    model = commits.sparkSession.sparkContext.broadcast((load_weights(), names))
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tagger = Tagger(*model.value)
         for pdf in it:
-            rows = [(o, k) for o, t in zip(pdf["oid"], pdf["message"]) for k in {x[2] for x in tagger.find(t)}]
+            rows = [(o, k) for o, t, g in zip(pdf["oid"], pdf["message"], _taggers(model.value, pdf["given"])) for k in {x[2] for x in g.find(t)}]
             yield pd.DataFrame(rows, columns=["oid", "pii_kind"])
 
-    return _once(commits).mapInPandas(run, "oid string, pii_kind string").distinct()
+    return texts.mapInPandas(run, "oid string, pii_kind string").distinct()
 
 
 def redacted(commits: DataFrame) -> DataFrame:
     """(oid, redacted, n_spans): every distinct message with personal information replaced by typed placeholders."""
-    model = commits.sparkSession.sparkContext.broadcast((load_weights(), given_names(commits)))
+    texts, names = _with_names(commits)
+    model = commits.sparkSession.sparkContext.broadcast((load_weights(), names))
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tagger = Tagger(*model.value)
         for pdf in it:
-            yield pd.DataFrame({"oid": pdf["oid"], "redacted": [tagger.redact(t) for t in pdf["message"]], "n_spans": [len(tagger.find(t)) for t in pdf["message"]]})
+            rows = [(o, g.redact(t), len(g.find(t))) for o, t, g in zip(pdf["oid"], pdf["message"], _taggers(model.value, pdf["given"]))]
+            yield pd.DataFrame(rows, columns=["oid", "redacted", "n_spans"])
 
-    return _once(commits).mapInPandas(run, "oid string, redacted string, n_spans int")
+    return texts.mapInPandas(run, "oid string, redacted string, n_spans int")

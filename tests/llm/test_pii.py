@@ -59,3 +59,23 @@ def test_in_spark(spark):
     assert red["a"] == "Contact: [EMAIL]\ncall [PHONE] now" and red["c"] == "plain " * 20000 and set(red) == {"a", "c", "d"}
     assert "ravi" in P.given_names(df)
     assert P.kinds(df.where("false")).count() == 0
+
+
+def test_given_names_in_any_script(spark, monkeypatch):
+    """Names with letters beyond ASCII are learned, and those beyond the shipped number are joined."""
+    names = ["Łucja", "Inês", "Zoë", "Çelik", "Борис"]
+    rows = [(f"{n}{s}", f"Paired with {n} Fokatrefeld", f"{n} {s}", None) for n in names for s in ("Soto", "Çakır", "Müller")]
+    df = spark.createDataFrame(rows, "oid string, message string, author_name string, committer_name string")
+    want = {P.fold(n) for n in names}
+    assert want <= P.given_names(df)
+    full = sorted(map(tuple, P.redacted(df).collect()))
+    assert {r[1] for r in full} == {"Paired with [PERSON]"} and {r[1] for r in P.kinds(df).collect()} == {"person"}
+    monkeypatch.setattr(P, "LEXICON", 2)
+    assert P.given_names(df) is None and sorted(map(tuple, P.redacted(df).collect())) == full
+    assert {r[1] for r in P.kinds(df).collect()} == {"person"}
+
+
+def test_words_asked_for_are_enough():
+    weights, given = P.load_weights(), T.lexicon(4)
+    for text, _ in T.sentences(778, 400):
+        assert P.Tagger(weights, given & P.asked(text)).find(text) == P.Tagger(weights, given).find(text), text
