@@ -9,7 +9,8 @@ looked at once.
 2. Words that consist of non-ASCII characters only leave nothing to join on. They are re-read under
    each pair of encodings, and the reading is joined with the words that occur; such hits vote too. Single letters prove nothing and are not re-read.
 3. Learned mappings are applied to all tokens: a token is damaged if a voted pair turns a word of
-   it into a much more frequent word, if a whole run reads strictly as UTF-8 (or as Japanese
+   it into a much more frequent word, or into one that is much likelier by its letter pairs (which
+   distinct words teach, so counts of deliveries don't matter), if a whole run reads strictly as UTF-8 (or as Japanese
    double bytes), or if it holds replacement signs or C1 controls, which no clean text has.
 4. Damage shown on purpose is enclosed: a run with its quotation marks does not read strictly, and
    a run directly between ASCII quotation marks is left alone.
@@ -17,6 +18,7 @@ looked at once.
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -35,6 +37,11 @@ STRICT = ("cp1252", "cp1250", "iso8859_2", "cp1251", "mac_roman", "cp437", "cp85
 #: A twin occurs at least so often, and so many times as often as the garbled word; a pair of encodings needs so many distinct words.
 TWIN_COUNT, TWIN_RATIO, VOTES = 3, 3, 2
 
+#: A reading without a much more frequent twin is so much likelier by letter pairs, a character and as a whole; most of its pairs stand in so many distinct words.
+GAIN, GAIN_ALL, PAIR_WORDS = 1.0, 6.0, 2
+#: A word of ordinary shape ("Çelik") is re-read without such a twin only if it has so many characters beyond ASCII.
+CHANGED = 3
+
 _RUN = re.compile(r"[^\x00-\x7f]+")
 _WORD = re.compile(r"[A-Za-z]*[^\x00-\x7f][A-Za-z\u0080-\U0010ffff]*")
 _SHOWN = re.compile(r"[\"'`<(\[{]([^\x00-\x7f]+)[\"'`>)\]}]")
@@ -234,24 +241,76 @@ class Learned:
         every = vocabulary.withColumn("bone", _skeleton("word")).where(F.length("bone") >= 3)
         twins = every.alias("w").join(boned.alias("v"), F.col("w.bone") == F.col("v.bone")).where(shown & (F.col("w.word") != F.col("v.word"))).select(F.col("w.word").alias("word"), F.col("v.word").alias("twin"), F.col("v.n").alias("n"))
         self.twins = self.scratch.save(twins.mapInPandas(_votes, "word string, twin string, n bigint, garbled string, clean string, pair string"))
-        # words re-read under each pair
-        again = vocabulary.where(F.length("word") >= 2).mapInPandas(_readings, "word string, n bigint, reading string, pair string")
-        hits = again.alias("w").join(clean.alias("v"), F.col("w.reading") == F.col("v.word")).where(shown).select("w.word", "w.reading", "w.pair", F.col("v.n").alias("n"))
-        self.hits = self.scratch.save(hits)
+        # words re-read under each pair; what letter pairs say is learned from the words not found garbled by counts
+        again = self.scratch.save(vocabulary.where(F.length("word") >= 2).mapInPandas(_readings, "word string, n bigint, reading string, pair string"))
+        met = again.alias("w").join(clean.alias("v"), F.col("w.reading") == F.col("v.word")).where(F.col("v.n") >= TWIN_COUNT).select("w.word", "w.reading", "w.pair", F.col("w.n").alias("own"), F.col("v.n").alias("n"))
+        met = self.scratch.save(met)
+        shown = F.col("n") >= TWIN_RATIO * F.col("own")
+        letters = letter_pairs(clean.join(met.where(shown).select("word").distinct(), "word", "left_anti"))
+        model = commits.sparkSession.sparkContext.broadcast(letters)
+
+        def gains(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in it:
+                yield pdf.assign(gain=[gain(w, r, model.value) for w, r in zip(pdf["word"], pdf["reading"])])
+
+        # twins that are frequent but not much more frequent count if letter pairs tell which is the garbled one
+        close = met.where(~shown).mapInPandas(gains, "word string, reading string, pair string, own bigint, n bigint, gain double").where("gain > 0")
+        self.hits = self.scratch.save(met.where(shown).unionByName(close.drop("gain")).select("word", "reading", "pair", "n"))
         voted = self.twins.where(~F.col("pair").endswith(">lost")).select("pair", "word").unionByName(self.hits.select("pair", "word")).groupBy("pair").agg(F.count_distinct("word").alias("votes"))
         self.voted = self.scratch.save(voted.where(F.col("votes") >= VOTES))
-        sure = self.hits.join(F.broadcast(self.voted), "pair").groupBy("word").agg(F.max_by("reading", F.struct("votes", "n", "reading")).alias("reading"), F.max_by("pair", F.struct("votes", "n", "reading")).alias("pair"))
-        read_again = self.scratch.save(words.join(sure, "word").groupBy("token").agg(F.min_by("word", "word").alias("word"), F.min_by("reading", "word").alias("reading"), F.min_by("pair", "word").alias("pair")))
-        learned = read_again.join(self.direct, "token", "left_anti").select("token", F.expr("replace(token, word, reading)").alias("restored"), "pair")
+        sure = self.scratch.save(self.hits.join(F.broadcast(self.voted), "pair").groupBy("word").agg(F.max_by("reading", F.struct("votes", "n", "reading")).alias("reading"), F.max_by("pair", F.struct("votes", "n", "reading")).alias("pair")))
+        # the remaining words have no frequent twin: each voted pair is applied, and letter pairs decide
+        rest = again.join(sure.select("word"), "word", "left_anti").join(F.broadcast(self.voted), "pair").select("word", "n", "reading", "pair", "votes")
+        rest = rest.mapInPandas(gains, "word string, n bigint, reading string, pair string, votes bigint, gain double").where("gain > 0")
+        self.guessed = self.scratch.save(rest.groupBy("word").agg(F.max_by("reading", F.struct("gain", "votes", "reading")).alias("reading"), F.max_by("pair", F.struct("gain", "votes", "reading")).alias("pair")))
         # replacement signs: the one frequent word with the same skeleton and as many lost characters
-        back = self.twins.where(F.col("pair").endswith(">lost")).groupBy("word").agg(F.count_distinct("twin").alias("k"), F.max_by("twin", F.struct("n", "twin")).alias("twin")).where("k = 1")
-        saved = words.join(back, "word").groupBy("token").agg(F.min_by("word", "word").alias("word"), F.min_by("twin", "word").alias("twin"))
-        again = read_again.select("token", F.expr("replace(token, word, reading)").alias("reread"))
-        fixed = self.direct.join(saved, "token", "left").join(again, "token", "left").select("token", F.coalesce("restored", F.expr("replace(token, word, twin)"), "reread").alias("restored"), "pair")
-        self.tokens = self.scratch.save(fixed.unionByName(learned))
+        back = self.twins.where(F.col("pair").endswith(">lost")).groupBy("word").agg(F.count_distinct("twin").alias("k"), F.max_by("twin", F.struct("n", "twin")).alias("reading")).where("k = 1")
+        known = sure.unionByName(self.guessed)
+        known = back.select("word", "reading", F.lit("lost").alias("pair")).unionByName(known.join(back, "word", "left_anti"))
+        swaps = self.scratch.save(words.join(known, "word").groupBy("token").agg(F.array_sort(F.collect_set(F.struct((-F.length("word")).alias("l"), "word", "reading"))).alias("swaps"), F.min_by("pair", "word").alias("learned")))
+        swapped = self.direct.join(swaps, "token", "full").where("pair IS NOT NULL OR learned <> 'lost'")
+        text = F.aggregate(F.coalesce("swaps", F.array().cast("array<struct<l:int,word:string,reading:string>>")), F.coalesce("restored", "token"), lambda m, x: F.replace(m, x["word"], x["reading"]))
+        swapped = swapped.select("token", text.alias("restored"), F.coalesce("pair", "learned").alias("pair"))
+        self.tokens = self.scratch.save(swapped.select("token", F.when(F.col("restored") != F.col("token"), F.col("restored")).alias("restored"), "pair", (~F.col("restored").rlike(r"[\x{80}-\x{9f}\x{fffd}]") & (F.col("restored") != F.col("token"))).alias("whole")))
         self.messages = messages
 
 
+def _pairs(word: str) -> list[str]:
+    """The neighbouring characters of a word, its ends included."""
+    return [a + b for a, b in zip(f" {word}", f"{word} ")]
+
+
+def letter_pairs(words: DataFrame) -> dict[str, int]:
+    """In how many distinct words each pair of neighbouring characters of an alphabet occurs."""
+
+    def rows(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            yield pd.DataFrame({"p": [x for w in pdf["word"] for x in set(_pairs(w)) if x[0] < "\u2000" and x[1] < "\u2000"]}, dtype=object)
+
+    return {r[0]: r[1] for r in words.select("word").distinct().mapInPandas(rows, "p string").groupBy("p").agg(F.count(F.lit(1))).collect()}
+
+
+def odd(word: str) -> bool:
+    """Whether a word is not shaped as words are: symbols among its letters, a capital after a small letter, or letters of two alphabets."""
+    kinds = {unicodedata.name(c, "?").split()[0] for c in word if c.isalpha() and c not in "ªºµ"}
+    return len(kinds) > 1 or any(not c.isalpha() or c in "ªºµ" for c in word) or any(a.islower() and b.isupper() for a, b in zip(word, word[1:]))
+
+
+def gain(word: str, reading: str, letters: dict[str, int]) -> float:
+    """How much likelier a reading is than the word, a letter pair; 0 if not by far, or if over a quarter of the reading's are hardly seen.
+
+    The word's own part in the counts is left out, as it may be all there is of a garbled one.
+    """
+    there, here = _pairs(reading), _pairs(word)
+    if not odd(word) and sum(c > "\x7f" for c in word) < CHANGED:
+        return 0.0
+    if not any(c.isalpha() and c > "\x7f" for c in reading) or 4 * sum(letters.get(x, 0) < PAIR_WORDS for x in there) > len(there):
+        return 0.0
+    mean = lambda xs, own: sum(math.log(max(0, letters.get(x, 0) - own) + 0.5) for x in xs) / len(xs)
+    got = mean(there, 0) - mean(here, 1)
+    return got if got >= GAIN and got * len(here) >= GAIN_ALL else 0.0
+
+
 def _direct_rows(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in it:
         yield pd.DataFrame([r for r in map(direct, pdf["token"]) if r], columns=["token", "restored", "pair"])
@@ -285,9 +344,9 @@ def restored(commits: DataFrame) -> DataFrame:
     """(oid, message, restored, complete): damaged messages with their damaged tokens replaced; ``complete``: none remained unknown."""
     learned = Learned(commits)
     each = learned.messages.select("oid", "message", F.explode(F.array_distinct(F.regexp_extract_all("message", F.lit(r"[^\x00-\x20]*[^\x00-\x7F][^\x00-\x20]*"), F.lit(0)))).alias("token"))
-    hit = each.join(learned.tokens, "token").groupBy("oid", "message").agg(F.array_sort(F.collect_list(F.struct((-F.length("token")).alias("l"), "token", "restored"))).alias("swaps"))
+    hit = each.join(learned.tokens, "token").groupBy("oid", "message").agg(F.array_sort(F.collect_list(F.struct((-F.length("token")).alias("l"), "token", "restored", "whole"))).alias("swaps"))
     text = F.aggregate("swaps", F.col("message"), lambda m, s: F.replace(m, s["token"], F.coalesce(s["restored"], s["token"])))
-    return hit.select("oid", "message", text.alias("restored"), F.forall("swaps", lambda s: s["restored"].isNotNull()).alias("complete"))
+    return hit.select("oid", "message", text.alias("restored"), F.forall("swaps", lambda s: s["whole"]).alias("complete"))
 
 
 def mappings(commits: DataFrame) -> DataFrame:

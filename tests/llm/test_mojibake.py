@@ -46,3 +46,31 @@ def test_found_and_restored(spark):
             assert back[k][0] == want, k
     assert not back["b9"][1]
     assert M.damaged(df.where("false")).count() == 0
+
+
+RUSSIAN = "проверки после проверка история историей изменений изменения изменил перед передача передать память памяти запись записи записать старый старая старого новая нового новый очередь очереди сервер серверов страница страницы карта карты ошибка ошибки теперь первый первая сегодня сначала".split()
+
+
+def _corpus(skew):
+    rows = [(f"w{i}_{k}", f"слово {w} тут") for i, w in enumerate(RUSSIAN) for k in range(4)]
+    for i, w in enumerate(("проверки", "история", "изменений")):
+        rows += [(f"v{i}_{k}", garble(w, "koi8_r", "cp1251")) for k in range(skew)]
+    return rows
+
+
+def test_learned_pairs_reach_words_without_twins(spark):
+    """Names that occur nowhere else are restored by voted pairs; so is a phrase whose damaged copy is as frequent as the clean one."""
+    rare = ["истопамяти", "старочередь"]
+    for skew in (1, 4):
+        rows = _corpus(skew) + [(f"r{i}", f"by {garble(w, 'koi8_r', 'cp1251')} today") for i, w in enumerate(rare)]
+        rows += [("fine", "истопередача"), ("fine2", "déjà vu"), ("fine3", "Größe")]
+        df = spark.createDataFrame(rows, "oid string, message string")
+        back = {r["oid"]: (r["restored"], r["complete"]) for r in M.restored(df).collect()}
+        assert set(back) == {o for o, _ in rows if o[0] in "vr"}, skew
+        assert back["r0"] == ("by истопамяти today", True) and back["v0_0"] == ("проверки", True)
+
+
+def test_every_word_of_a_token_is_restored(spark):
+    rows = _corpus(1) + [("two", "/".join(garble(w, "koi8_r", "cp1251") for w in ("проверки", "история"))), ("half", garble("проверки", "koi8_r", "cp1251") + "/x\x85y")]
+    back = {r["oid"]: (r["restored"], r["complete"]) for r in M.restored(spark.createDataFrame(rows, "oid string, message string")).collect()}
+    assert back["two"] == ("проверки/история", True) and back["half"] == ("проверки/x\x85y", False)
