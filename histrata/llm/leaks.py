@@ -10,8 +10,8 @@
    word (local alignment), and the slots under the placeholders are compared: a number, identifier
    or unit may differ only if it differs the same way wherever it comes up.
 
-A leak is an aligned passage of at least MIN_WORDS successive words of the item of which at least
-MIN_SAME agree. If instead the placeholders agree and slots were consistently replaced, the pair is
+A leak is an aligned passage, or a part of one, of at least MIN_WORDS successive words of the item of
+which at least MIN_SAME agree. If instead the placeholders agree and slots were consistently replaced, the pair is
 a re-parameterised item (``kind`` "template").
 """
 
@@ -223,6 +223,35 @@ def consistent(words: list[str], item: list[str], canon: list[str], pairs: list[
     return replaced, odd
 
 
+def passage(words: list[str], ids: list[int], item: list[str], own: frozenset[int]) -> tuple[int, int] | None:
+    """(words of the item's passage, agreeing words) if some words of a document hold a passage of an item.
+
+    The best alignment counts as a whole, or else by the part of it that has most agreeing words among those of
+    MIN_WORDS or more that meet the thresholds; if there is none, what lies before and after it is aligned too.
+    """
+    if not dense(ids, own, MIN_SAME * (MIN_WORDS - SLACK)):
+        return None
+    j0, j1, pairs = align(words, item)
+    if not pairs:
+        return None
+    agree = [words[p] == item[q] for p, q in pairs]
+    same, span = sum(agree), j1 - j0 + 1
+    if span >= MIN_WORDS - SLACK and same >= MIN_SAME * max(span, MIN_WORDS - SLACK) and same >= MIN_DENSE * (pairs[-1][0] - pairs[0][0] + 1):
+        return span, same
+    met = [x for x, f in zip(pairs, agree) if f]
+    at, to, k = np.array([p for p, _ in met]), np.array([q for _, q in met]), np.arange(len(met))
+    best = None
+    for first in range(len(met)):
+        n, wide, across = k[first:] - first + 1, to[first:] - to[first] + 1, at[first:] - at[first] + 1
+        good = np.flatnonzero((wide >= MIN_WORDS) & (n >= MIN_SAME * wide) & (n >= MIN_DENSE * across))
+        if len(good) and (best is None or n[good[-1]] > best[1]):
+            best = int(wide[good[-1]]), int(n[good[-1]])
+    if best:
+        return best
+    first, last = pairs[0][0], pairs[-1][0] + 1
+    return passage(words[:first], ids[:first], item, own) or passage(words[last:], ids[last:], item, own)
+
+
 def stretches(places: list[int], reach: int) -> list[tuple[int, int]]:
     """Window positions joined to stretches whose gaps are at most ``reach``."""
     places = sorted(places)
@@ -258,12 +287,8 @@ def judge(items: Items, text: str | None) -> list[tuple[int, str, int, int]]:
         for low, high in slices(stretches(places, MARGIN), len(words), len(item)):
             got = None
             if dense(ids[low:high], items.word_sets[n], MIN_SAME * (MIN_WORDS - SLACK)):
-                j0, j1, pairs = align(words[low:high], item)
-                same = sum(words[low + p] == item[q] for p, q in pairs)
-                span = j1 - j0 + 1
-                across = pairs[-1][0] - pairs[0][0] + 1 if pairs else 0
-                if span >= MIN_WORDS - SLACK and same >= MIN_SAME * max(span, MIN_WORDS - SLACK) and same >= MIN_DENSE * across:
-                    got = ("text", span, same)
+                passed = passage(words[low:high], ids[low:high], item, items.word_sets[n])
+                got = passed and ("text", *passed)
             if got is None and dense(slot_ids[low:high], items.canon_sets[n], MIN_TEMPLATE * MIN_WORDS):
                 j0, j1, pairs = align(canon[low:high], slots)
                 agree = sum(canon[low + p] == slots[q] for p, q in pairs)

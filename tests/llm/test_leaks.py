@@ -66,3 +66,17 @@ def test_long_documents_are_cut_with_overlap():
     assert list(L.slices([(0, 9000)], 9050, 100))[0] == (0, 2000)
     parts = list(L.slices([(0, 9000)], 9050, 100))
     assert parts[-1][1] == 9045 and all(b[0] == a[1] - 200 for a, b in zip(parts, parts[1:]))
+
+
+def test_exact_passage_before_a_reworded_rest():
+    """An exact passage counts, however much of the words after it is changed; scattered agreement alone does not."""
+    r = random.Random(5)
+    for exact, keep in ((24, 4), (24, 5), (24, 6), (32, 5)):
+        item = sentence(r, 60).split()
+        rest = [w if k % 10 < keep else f"other{k}" for k, w in enumerate(item[exact:])]
+        items = L.Items([7], [" ".join(item)])
+        for words in (item[:exact] + rest, [f"x{k}" for k in range(50)] + item[:exact] + rest + [f"y{k}" for k in range(50)]):
+            assert [x[:2] for x in L.judge(items, " ".join(words))] == [(7, "text")], (exact, keep)
+    items = L.Items([7], [" ".join(item)])
+    assert L.judge(items, " ".join(w if k % 10 < 6 else f"other{k}" for k, w in enumerate(item))) == []
+    assert L.judge(items, " ".join(item[:14] + [f"z{k}" for k in range(46)])) == []
