@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -23,12 +24,16 @@ def table(spark: SparkSession, base: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset (tests,
-    one machine) a temporary folder of this process is made and removed at its end.
+    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset and all tasks run
+    in this process (tests, one machine) a temporary folder is made and removed at its end; with
+    executors elsewhere an unset folder is an error, as each would write to a disk of its own.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    master = spark.conf.get("spark.master", "")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master!r} share")
     own = os.environ.get("HISTRATA_LOCAL_SCRATCH")
     if not own:
         own = tempfile.mkdtemp(prefix="histrata-")

@@ -126,7 +126,7 @@ def s31_at_time(spark, base):
 
 
 @q("WITH RECURSIVE r AS (SELECT repo, name, oid, target, 0 AS hops FROM refs UNION ALL SELECT r.repo, r.name, t.oid, t.target, r.hops + 1 FROM r JOIN refs t ON r.repo = t.repo AND r.target = t.name WHERE r.oid IS NULL AND r.hops < 10), m AS (SELECT repo, name, max(hops) AS hops FROM r GROUP BY 1, 2) SELECT r.repo, r.name, r.oid, CAST(r.hops AS BIGINT) AS hops FROM r JOIN m ON r.repo = m.repo AND r.name = m.name AND r.hops = m.hops")
-def p10_resolve(spark, base):
+def pr10_resolve(spark, base):
     return S.resolve_symbolic(RepoTables(spark, base).refs)
 
 
@@ -134,18 +134,18 @@ def p10_resolve(spark, base):
     "WITH w AS (SELECT DISTINCT repo, regexp_replace(name, '^refs/(heads|tags|remotes)/', '') AS short FROM refs), rules(rule, pre, post) AS (VALUES (0, '', ''), (1, 'refs/', ''), (2, 'refs/tags/', ''), (3, 'refs/heads/', ''), (4, 'refs/remotes/', ''), (5, 'refs/remotes/', '/HEAD')), "
     "x AS (SELECT w.repo, w.short, rule, r.name, r.oid FROM w, rules JOIN refs r ON r.repo = w.repo AND r.name = pre || w.short || post) SELECT repo, short, name, oid FROM x QUALIFY row_number() OVER (PARTITION BY repo, short ORDER BY rule) = 1"
 )
-def p11_expand(spark, base):
+def pr11_expand(spark, base):
     r = RepoTables(spark, base).refs
     return S.expand_names(r.select("repo", F.regexp_replace("name", r"^refs/(heads|tags|remotes)/", "").alias("short")).distinct(), r)
 
 
 @q("SELECT repo, name, CASE WHEN name LIKE 'refs/remotes/%/HEAD' THEN regexp_extract(name, '^refs/remotes/(.+)/HEAD$', 1) WHEN regexp_matches(name, '^refs/(tags|heads|remotes)/.+') THEN regexp_replace(name, '^refs/(tags|heads|remotes)/', '') WHEN regexp_matches(name, '^refs/.+') THEN substr(name, 6) ELSE name END AS short FROM refs")
-def p16_short_names(spark, base):
+def pr16_short_names(spark, base):
     return RepoTables(spark, base).refs.select("repo", "name", N.short_name(F.col("name")).alias("short"))
 
 
 @q("SELECT repo, name, NOT (regexp_matches(name, '(^|/)\\.') OR regexp_matches(name, '\\.lock(/|$)') OR contains(name, '..') OR regexp_matches(name, '[\\x00-\\x20\\x7f~^:?*\\[\\\\]') OR regexp_matches(name, '^/|/$|//') OR name LIKE '%.' OR contains(name, '@{') OR name IN ('@', '') OR (NOT contains(name, '/') AND NOT regexp_matches(name, '^[A-Z][A-Z_]*$'))) AS valid FROM refs")
-def p16_valid_names(spark, base):
+def pr16_valid_names(spark, base):
     return RepoTables(spark, base).refs.select("repo", "name", N.valid_name(F.col("name")).alias("valid"))
 
 
@@ -157,13 +157,13 @@ def _specs(t):
 
 
 @q(f"WITH {_SPECS} SELECT r.repo, r.name, r.oid, spec, CASE WHEN contains(src, '*') THEN replace(dst, '*', substr(name, strlen(split_part(src, '*', 1)) + 1, strlen(name) - strlen(split_part(src, '*', 1)) - strlen(split_part(src, '*', 2)))) ELSE dst END AS dst, spec LIKE '+%' AS force FROM refs r JOIN sr ON r.repo = sr.repo WHERE CASE WHEN contains(src, '*') THEN starts_with(name, split_part(src, '*', 1)) AND ends_with(name, split_part(src, '*', 2)) AND strlen(name) >= strlen(src) - 1 ELSE name = src END")
-def p18_refspecs(spark, base):
+def pr18_refspecs(spark, base):
     t = RepoTables(spark, base)
     return S.match_specs(t.refs, _specs(t))
 
 
 @q(f"WITH {_SPECS} SELECT repo, spec, src, dst, spec LIKE '+%' AS force, contains(spec, '*') AS wildcard FROM sr")
-def p19_spec_parts(spark, base):
+def pr19_spec_parts(spark, base):
     s = F.col("spec")
     return _specs(RepoTables(spark, base)).select("repo", "spec", N.spec_part(s, "src").alias("src"), N.spec_part(s, "dst").alias("dst"), N.spec_force(s).alias("force"), N.spec_wildcard(s).alias("wildcard"))
 
@@ -172,7 +172,7 @@ _RULES = [(0, "https://forge.", "ssh://git@forge."), (1, "https://", "git://"),
 
 
 @q("WITH ru(ord, prefix, replacement) AS (VALUES (0, 'https://forge.', 'ssh://git@forge.'), (1, 'https://', 'git://'), (2, 'git@', 'ssh://git@')), x AS (SELECT url, replacement || substr(url, strlen(prefix) + 1) AS y, row_number() OVER (PARTITION BY url ORDER BY strlen(prefix) DESC, ord) AS k FROM (SELECT DISTINCT url FROM remotes) u JOIN ru ON starts_with(url, prefix)) SELECT u.url, coalesce(x.y, u.url) AS rewritten FROM (SELECT DISTINCT url FROM remotes) u LEFT JOIN x ON u.url = x.url AND k = 1")
-def p20_rewrite(spark, base):
+def pr20_rewrite(spark, base):
     return S.rewrite_urls(RepoTables(spark, base).remotes.select("url").distinct(), spark.createDataFrame(_RULES, "ord int, prefix string, replacement string"))
 
 
@@ -196,7 +196,7 @@ def u6_prune_plan(spark, base):
 
 
 @q("SELECT DISTINCT mode, is_f, txt FROM (VALUES (16384, false, '40000'), (33188, true, '100644'), (33204, true, '100664'), (33261, true, '100755'), (40960, true, '120000'), (57344, false, '160000')) v(mode, is_f, txt)")
-def p32_modes(spark, base):
+def pr32_modes(spark, base):
     m = F.col("mode")
     return spark.createDataFrame([(str(x),) for x in ("40000", "100644", "100664", "100755", "120000", "160000")], "txt string").select(O.parse_mode(F.col("txt")).alias("mode"), "txt").select("mode", O.is_file(m).alias("is_f"), O.mode_text(m).alias("txt"))
 
@@ -207,7 +207,7 @@ def a8_object_ids(spark, base):
 
 
 @q("SELECT doc_id, contains(substr(text, 1, 8000), chr(0)) AS is_binary FROM documents WHERE text IS NOT NULL")
-def p6_sniff(spark, base):
+def pr6_sniff(spark, base):
     return RepoTables(spark, base).raw("documents").where("text IS NOT NULL").select("doc_id", O.is_binary(F.col("text")).alias("is_binary"))
 
 

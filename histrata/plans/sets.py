@@ -39,7 +39,7 @@ def u1_difference(spark, base):
 
 
 @q("SELECT doc_id, blob_oid AS oid, CAST(strlen(text) AS BIGINT) AS size FROM documents WHERE strlen(text) < 512")
-def p35_object_filter(spark, base):
+def pr35_object_filter(spark, base):
     b = RepoTables(spark, base).blobs.select("doc_id", F.col("blob_oid").alias("oid"), F.lit("blob").alias("type"), "size", F.lit(1).alias("depth"))
     return P.object_filter(b, "combine:blob:limit=512+object:type=blob").select("doc_id", "oid", "size")
 
@@ -115,7 +115,7 @@ def f37_info_refs(spark, base):
 
 
 @q("SELECT repo, name, oid, target FROM refs WHERE name LIKE 'refs/heads/%' OR name = 'HEAD'")
-def p37_list_refs(spark, base):
+def pr37_list_refs(spark, base):
     return P.list_refs(RepoTables(spark, base).refs, ["refs/heads/", "HEAD"]).select("repo", "name", "oid", "target")
 
 

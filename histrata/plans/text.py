@@ -64,24 +64,24 @@ def l3_blame(spark, base):
     return X.blame(_texts(t).withColumnRenamed("oid", "ver"), h.select(F.col("oid").alias("ver"), F.lit(0).alias("ord"), "parent"))
 
 
-def p23_ignored(spark, base):
+def pr23_ignored(spark, base):
     p = RepoTables(spark, base).blobs.where("path IS NOT NULL").select("path").distinct()
     return p.select("path", R.ignored(F.col("path"), R.parse_ignores(IGNORE)).alias("ignored"))
 
 
-def p25_attributes(spark, base):
+def pr25_attributes(spark, base):
     rules = R.parse_attributes(ATTRIBUTES)
     p = RepoTables(spark, base).blobs.where("path IS NOT NULL").select("path").distinct()
     return p.select("path", *[R.attribute(F.col("path"), n, rules).alias(n) for n in ("text", "diff", "eol")])
 
 
-def p28_sparse(spark, base):
+def pr28_sparse(spark, base):
     p = RepoTables(spark, base).blobs.where("path IS NOT NULL").select("repo", "path", "doc_id")
     return R.sparse(p, ["docs/", "cmd/", "core/"])
 
 
 _ANY = "(^|/)"
-QUERIES = {f.__name__: f for f in (l7_grep, l7_grep_invert, s_lines, a1_stats, l1_reconstruct, f38_unified, l3_blame, p23_ignored, p25_attributes, p28_sparse)}
+QUERIES = {f.__name__: f for f in (l7_grep, l7_grep_invert, s_lines, a1_stats, l1_reconstruct, f38_unified, l3_blame, pr23_ignored, pr25_attributes, pr28_sparse)}
 ORACLE = {
     "l7_grep": r"SELECT repo, path, doc_id, line_no, content FROM (SELECT source AS repo, path, doc_id, unnest(string_split(text, chr(10))) AS content, CAST(unnest(range(1, len(string_split(text, chr(10))) + 1)) AS BIGINT) AS line_no FROM documents WHERE path IS NOT NULL AND (regexp_matches(path, '\.(go|md|txt)$') OR regexp_matches(path, '^docs/'))) WHERE regexp_matches(content, 'orphaned [a-z]+ block') OR regexp_matches(content, '^\* .*saves \d+ KB')",
     "l7_grep_invert": "SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS content FROM documents) WHERE NOT regexp_matches(content, '[a-z]') GROUP BY doc_id",
@@ -89,6 +89,6 @@ ORACLE = {
     "a1_stats": f"{_CONTENT} SELECT oid AS pair, (SELECT count(*) FROM n WHERE n.pair = hist.oid AND NOT EXISTS (SELECT 1 FROM o WHERE o.pair = n.pair AND o.l = n.l)) AS addition, (SELECT count(*) FROM o WHERE o.pair = hist.oid AND NOT EXISTS (SELECT 1 FROM n WHERE o.pair = n.pair AND o.l = n.l)) AS deletion FROM hist",
     "l1_reconstruct": "SELECT o_orderkey AS pair, true AS old_ok, true AS new_ok FROM orders",
     "l3_blame": f"WITH {SQL}, f AS (SELECT tree, path || ' ' || substr(blob, 1, 8) AS l FROM tf), v AS (SELECT oid, branch, row_number() OVER (PARTITION BY branch ORDER BY ts, oid) AS k FROM hist), x AS (SELECT v.branch, v.oid, v.k, l, row_number() OVER (PARTITION BY v.oid ORDER BY l) AS line_no, v.k - row_number() OVER (PARTITION BY v.branch, l ORDER BY v.k) AS g FROM v JOIN f ON f.tree = v.oid) SELECT oid AS ver, line_no, l AS text, first_value(oid) OVER (PARTITION BY branch, l, g ORDER BY k) AS origin FROM x",
-    "p25_attributes": r"SELECT DISTINCT path, CASE WHEN regexp_matches(path, '(^|/)[^/]*\.md$') THEN 'set' WHEN regexp_matches(path, '(^|/)[^/]*\.png$') THEN 'unset' WHEN regexp_matches(path, '(^|/)[^/]*\.go$') THEN 'set' ELSE 'auto' END AS text, CASE WHEN regexp_matches(path, '\.md$') THEN 'unspecified' WHEN regexp_matches(path, '^docs/[^/]*$') THEN 'unset' WHEN regexp_matches(path, '\.png$') THEN 'unset' WHEN regexp_matches(path, '\.go$') THEN 'go' ELSE 'unspecified' END AS diff, CASE WHEN regexp_matches(path, '\.md$') THEN 'lf' ELSE 'unspecified' END AS eol FROM documents WHERE path IS NOT NULL",
-    "p28_sparse": "SELECT source AS repo, path, doc_id, NOT (starts_with(path, 'docs/') OR starts_with(path, 'cmd/') OR starts_with(path, 'core/')) AS skip FROM documents WHERE path IS NOT NULL",
+    "pr25_attributes": r"SELECT DISTINCT path, CASE WHEN regexp_matches(path, '(^|/)[^/]*\.md$') THEN 'set' WHEN regexp_matches(path, '(^|/)[^/]*\.png$') THEN 'unset' WHEN regexp_matches(path, '(^|/)[^/]*\.go$') THEN 'set' ELSE 'auto' END AS text, CASE WHEN regexp_matches(path, '\.md$') THEN 'unspecified' WHEN regexp_matches(path, '^docs/[^/]*$') THEN 'unset' WHEN regexp_matches(path, '\.png$') THEN 'unset' WHEN regexp_matches(path, '\.go$') THEN 'go' ELSE 'unspecified' END AS diff, CASE WHEN regexp_matches(path, '\.md$') THEN 'lf' ELSE 'unspecified' END AS eol FROM documents WHERE path IS NOT NULL",
+    "pr28_sparse": "SELECT source AS repo, path, doc_id, NOT (starts_with(path, 'docs/') OR starts_with(path, 'cmd/') OR starts_with(path, 'core/')) AS skip FROM documents WHERE path IS NOT NULL",
 }

@@ -60,7 +60,7 @@ def a7_tree_ids(spark, base):
     return D.tree_ids(RepoTables(spark, base).tree_files, Scratch(spark, "trees"))
 
 
-def p30_checks(spark, base):
+def pr30_checks(spark, base):
     """Files of documents as one folder per repository: which entries a check refuses."""
     from pyspark.sql.window import Window
 
@@ -95,7 +95,7 @@ def j8_name_similarity(spark, base):
     return q.select("repo", "path", "other", D.name_similarity(F.col("path"), F.col("other")).alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (log_stats, j4_changes, j6_exact_renames, j7_content_renames, j8_name_similarity, j9_similar_contents, j10_status, s34_tree_walk, a7_tree_ids, p30_checks)}
+QUERIES = {f.__name__: f for f in (log_stats, j4_changes, j6_exact_renames, j7_content_renames, j8_name_similarity, j9_similar_contents, j10_status, s34_tree_walk, a7_tree_ids, pr30_checks)}
 ORACLE = {
     "a7_tree_ids": f"WITH {SQL}, x AS (SELECT tree, split_part(path, '/', 1) AS d, string_agg(hex('100644 ' || split_part(path, '/', 2)) || '00' || blob, '' ORDER BY path) AS b FROM tf GROUP BY 1, 2), y AS (SELECT tree, d AS path, sha1(unhex(hex('tree ' || (strlen(b) // 2)) || '00' || b)) AS oid FROM x), z AS (SELECT tree, string_agg(hex('40000 ' || path) || '00' || oid, '' ORDER BY path) AS b FROM y GROUP BY tree) SELECT tree, path, oid FROM y UNION ALL SELECT tree, '', sha1(unhex(hex('tree ' || (strlen(b) // 2)) || '00' || b)) FROM z",
     "log_stats": f"{_DIFF}, n AS (SELECT pair, count(*) FILTER (WHERE action = 'insert') AS inserted, count(*) FILTER (WHERE action = 'delete') AS deleted, count(*) FILTER (WHERE action = 'modify') AS modified FROM d GROUP BY pair) SELECT branch, oid, ts, message, coalesce(inserted, 0) AS inserted, coalesce(deleted, 0) AS deleted, coalesce(modified, 0) AS modified FROM hist LEFT JOIN n ON n.pair = hist.oid WHERE ts >= TIMESTAMP '1995-01-01' AND ts < TIMESTAMP '1996-01-01'",
