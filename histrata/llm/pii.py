@@ -7,8 +7,8 @@ non-overlapping spans of the highest total score, so boundaries and types are ch
 text outside spans scores zero. Weights come from ``pii_train`` (maximum likelihood, forward-
 backward over the same lattice, on sentences made up there) and lie in ``pii_weights.json``.
 
-Given names are learned from the corpus itself: first words of author and committer names that
-stand before several different surnames.
+Given names are learned from the corpus itself: words of author and committer names that stand
+before more surnames than they follow given names, and that messages mostly write with a capital.
 """
 
 from __future__ import annotations
@@ -17,18 +17,22 @@ import json
 import math
 import os
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .names import NICKNAMES, TITLES, fold
+from .names import NICKNAMES, PARTICLES, TITLES, UNITS, fold
 
 KINDS = ("email", "phone", "id_number", "address", "person")
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "person": "[PERSON]"}
-#: A given name stands before so many surnames; the names are shipped while they are at most so many, else joined with the words of the messages.
-GIVEN_SURNAMES, LEXICON = 3, 50_000
+#: Given names are shipped while they are at most so many, else joined with the words of the messages.
+LEXICON = 50_000
+
+#: The longest span considered, in characters.
+MAX_CHARS = 1_000
 
 #: Words beside personal information, in several languages.
 CUES = {
@@ -79,7 +83,6 @@ PERSON = (
 )
 
 _WORDS = re.compile(r"[\w'’.#:%-]*[\w%:]|[^\w\s]")
-MAX_CHARS = 140
 
 
 def _near(text: str, start: int, end: int) -> tuple[list[str], list[str]]:
@@ -346,15 +349,13 @@ class Tagger:
         w = self.weights
         return best([(s, e, k, sum(w.get(f, 0.0) for f in feats)) for s, e, k, feats in candidates(text, self.given)])
 
-    def redact(self, text: str | None) -> str | None:
-        """The text with each span replaced by its placeholder; everything else unchanged."""
-        if text is None:
-            return None
-        out, at = [], 0
-        for s, e, k in self.find(text):
+    def redact(self, text: str) -> tuple[str, int]:
+        """The text with each span replaced by its placeholder and everything else unchanged, and how many there were."""
+        out, at, spans = [], 0, self.find(text)
+        for s, e, k in spans:
             out += [text[at:s], PLACEHOLDERS[k]]
             at = e
-        return "".join(out) + text[at:]
+        return "".join(out) + text[at:], len(spans)
 
 
 def lattice_gradient(spans: list[tuple[int, int, list[str]]], gold: set[int], weights: dict[str, float]) -> tuple[float, list[float]]:
@@ -393,15 +394,61 @@ def lattice_gradient(spans: list[tuple[int, int, list[str]]], gold: set[int], we
     return sum(score[k] for k, i in enumerate(order) if i in gold) - z, grad
 
 
+def _evidence(name: str) -> list[tuple[str, str, bool]]:
+    """(word, the word it goes with, whether it stands as given name) of a person's name; nothing for organisations, single words and initials."""
+    low = fold(name)
+    if any(w in ORGS or w in UNITS for w in re.findall(r"[^\W\d_]+", low)):
+        return []
+    sides = [[t.strip(".") for t in x.split() if t.strip(".") not in TITLES and t not in PARTICLES] for x in low.split(",")[:2]]
+    if not all(sides):
+        return []
+    given, last = (sides[1][0], sides[0][-1]) if len(sides) > 1 else (sides[0][0], sides[0][-1])
+    if len(sides) == 1 and len(sides[0]) < 2 or min(len(given), len(last)) < 2:
+        return []
+    return [(given, last, True), (last, given, False)]
+
+
+def _evidence_rows(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in it:
+        yield pd.DataFrame(sorted({x for n in pdf["n"] for x in _evidence(n) if re.fullmatch(r"[^\W\d_]+", x[0])}), columns=["g", "other", "first"])
+
+
+def _spelling_rows(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of each batch, how many messages have a word in small letters, and with a capital."""
+    for pdf in it:
+        small: Counter = Counter()
+        for t in pdf["message"]:
+            small.update(set(re.findall(r"[^\W\d_]{2,}", t)))
+        folded: dict[str, list[int]] = {}
+        for w, n in small.items():
+            folded.setdefault(fold(w), [0, 0])[w[0].isupper()] += n
+        yield pd.DataFrame([(w, *n) for w, n in folded.items()], columns=["g", "small", "capital"])
+
+
 def _given(commits: DataFrame) -> DataFrame:
-    """(g): first words of authors and committers, in any script, that stand before several surnames."""
-    names = commits.select(F.explode(F.array("author_name", "committer_name")).alias("n")).where(F.col("n").rlike(r"^[\p{L}\p{M}]+ \p{L}")).distinct()
-    words = names.select(F.regexp_extract("n", r"^([\p{L}\p{M}]+) ", 1).alias("g"), F.regexp_extract("n", r" ([^\s]+)$", 1).alias("s")).where("g <> '' AND length(g) > 1")
-    return words.groupBy("g").agg(F.count_distinct(F.lower("s")).alias("k")).where(F.col("k") >= GIVEN_SURNAMES).select("g")
+    """(g): folded given names of authors and committers, in any script.
+
+    All evidence is relative, so that more data teaches no other words: a word stands before more
+    surnames than it follows given names, before two at least (one person's name is none of two),
+    and messages write it with a capital more often than without. Particles, titles, ordinary
+    words and words of organisations are no given names.
+    """
+    names = commits.select(F.explode(F.array("author_name", "committer_name")).alias("n")).where(F.col("n").isNotNull()).distinct()
+    seen = names.mapInPandas(_evidence_rows, "g string, other string, first boolean").distinct()
+    k = lambda x: F.count(F.when(F.col("first") == F.lit(x), 1))
+    able = seen.groupBy("g").agg(k(True).alias("k"), k(False).alias("s")).where("k >= 2 AND k > s").select("g")
+    spelt = commits.where(F.col("message").isNotNull()).select("message").mapInPandas(_spelling_rows, "g string, small bigint, capital bigint")
+    mostly = spelt.join(able, "g", "left_semi").groupBy("g").agg(F.sum("small").alias("small"), F.sum("capital").alias("capital")).where("small > capital").select("g")
+    return able.join(mostly, "g", "left_anti").mapInPandas(_usable_rows, "g string")
 
 
 def _usable(names: set[str]) -> set[str]:
-    return {x for x in names if x not in ORDINARY and x not in ORGS}
+    return {x for x in names if x not in ORDINARY and x not in ORGS and x not in UNITS and x not in PARTICLES and x not in TITLES}
+
+
+def _usable_rows(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in it:
+        yield pd.DataFrame({"g": sorted(_usable(set(pdf["g"])))}, dtype=object)
 
 
 def _table() -> set[str]:
@@ -410,9 +457,9 @@ def _table() -> set[str]:
 
 
 def given_names(commits: DataFrame) -> set[str] | None:
-    """Given names of authors and committers that stand before several surnames, and those of the nickname table; None if there are more than LEXICON."""
+    """Learned given names and those of the nickname table; None if more than LEXICON are learned."""
     found = [r[0] for r in _given(commits).limit(LEXICON + 1).collect()]
-    return None if len(found) > LEXICON else _usable({fold(x) for x in found}) | _table()
+    return None if len(found) > LEXICON else set(found) | _table()
 
 
 def asked(text: str | None) -> set[str]:
@@ -433,11 +480,6 @@ def _asked_rows(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([(o, w) for o, t in zip(pdf["oid"], pdf["message"]) for w in asked(t)], columns=["oid", "w"])
 
 
-def _folded_rows(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in it:
-        yield pd.DataFrame({"w": sorted(_usable(set(map(fold, pdf["g"]))))}, dtype=object)
-
-
 def _with_names(commits: DataFrame) -> tuple[DataFrame, set[str]]:
     """Distinct messages (oid, message, given), and the names to be shipped.
 
@@ -446,7 +488,7 @@ def _with_names(commits: DataFrame) -> tuple[DataFrame, set[str]]:
     once, names = _once(commits), given_names(commits)
     if names is not None:
         return once.withColumn("given", F.lit(None).cast("array<string>")), names
-    learned = _given(commits).mapInPandas(_folded_rows, "w string").distinct()
+    learned = _given(commits).withColumnRenamed("g", "w")
     here = once.mapInPandas(_asked_rows, "oid string, w string").distinct().join(learned, "w").groupBy("oid").agg(F.collect_set("w").alias("given"))
     return once.join(here, "oid", "left").select("oid", "message", "given"), _table()
 
@@ -487,7 +529,7 @@ def redacted(commits: DataFrame) -> DataFrame:
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            rows = [(o, g.redact(t), len(g.find(t))) for o, t, g in zip(pdf["oid"], pdf["message"], _taggers(model.value, pdf["given"]))]
+            rows = [(o, *g.redact(t)) for o, t, g in zip(pdf["oid"], pdf["message"], _taggers(model.value, pdf["given"]))]
             yield pd.DataFrame(rows, columns=["oid", "redacted", "n_spans"])
 
     return texts.mapInPandas(run, "oid string, redacted string, n_spans int")
