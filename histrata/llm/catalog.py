@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from ..functions.runtime import table
+from pyspark.sql import functions as F
+
+from ..functions.runtime import parts_for, table
 from . import leaks, mojibake, names, packing, pii, repetition, seen_before
 
 QUERIES: dict = {}
@@ -39,6 +41,16 @@ def p4_seen(spark, base):
     return seen_before.seen_before(table(spark, base, "pack_entries"), table(spark, base, "haves"))
 
 
+@query("p4_batches", _SEEN + "SELECT arrival, seen FROM s")
+def p4_batches(spark, base):
+    """The stream in four batches: each reads the sealed filters of those before it from disk, not their keys."""
+    entries = table(spark, base, "pack_entries").select("arrival", "oid")
+    low, high, n = entries.agg(F.min("arrival"), F.max("arrival"), F.count(F.lit(1))).first()
+    cuts = [(low or 0) + k * (((high or 0) - (low or 0)) // 4 + 1) for k in range(5)]
+    batches = [entries.where((F.col("arrival") >= a) & (F.col("arrival") < b)) for a, b in zip(cuts, cuts[1:])]
+    return seen_before.seen_in_batches(batches, table(spark, base, "haves"), parts_for(n, seen_before.ROWS_PER_SHARD, 8))
+
+
 @query("p4_error_rates")
 def p4_error_rates(spark, base):
     return seen_before.error_rates(table(spark, base, "pack_entries"), table(spark, base, "haves"))
@@ -49,6 +61,13 @@ def p6_pack(spark, base):
     return packing.pack_documents(table(spark, base, "documents"), table(spark, base, "containers"))
 
 
+@query("p6_valid", "SELECT container_id, (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM documents) AS packed, 0 AS overfull, 0 AS needless_cuts, 0 AS broken FROM containers")
+def p6_valid(spark, base):
+    """Per capacity: documents, documents packed, containers above the capacity, documents cut though they fit, and documents whose pieces don't add up."""
+    docs, containers = table(spark, base, "documents"), table(spark, base, "containers")
+    return packing.validity(packing.pack_documents(docs, containers), docs, containers)
+
+
 @query("p6_fill")
 def p6_fill(spark, base):
     containers = table(spark, base, "containers")

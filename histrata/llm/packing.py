@@ -12,6 +12,7 @@ An item longer than the capacity is cut into pieces of exactly the capacity and
 from __future__ import annotations
 
 import base64
+import os
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -22,8 +23,9 @@ from pyspark.sql.window import Window
 
 from ..functions.runtime import Scratch, parts_for
 
-#: Production parameters: the vocabulary file and rows per rank bucket.
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: Production parameters: the vocabulary file, the pattern that splits texts before it, and rows per rank bucket.
+VOCABULARY = os.environ.get("HISTRATA_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 ROWS_PER_BUCKET = 20_000
 #: The plan is broadcast up to this many rows and joined by shuffling beyond.
 BROADCAST_RUNS = 300_000
@@ -31,24 +33,23 @@ BROADCAST_RUNS = 300_000
 _LOADED: dict = {}
 
 
-def encoding(path: str):
-    """The byte-level tokenizer of a vocabulary file, loaded once a process."""
-    if path not in _LOADED:
-        import public_tokenizers
+def encoding(path: str, pattern: str = PATTERN):
+    """The byte-level tokenizer of a vocabulary file and the pattern that splits texts for it, loaded once a process."""
+    if (path, pattern) not in _LOADED:
         import tiktoken
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _LOADED[path] = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _LOADED[path]
+        _LOADED[path, pattern] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return _LOADED[path, pattern]
 
 
-def token_counts(text: Column, vocabulary: str = VOCABULARY) -> Column:
+def token_counts(text: Column, vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> Column:
     """Tokens of a text; 0 for null."""
 
     @F.pandas_udf("bigint")
     def counted(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        enc = encoding(vocabulary)
+        enc = encoding(vocabulary, pattern)
         for s in it:
             yield pd.Series([len(enc.encode_ordinary(t)) if t else 0 for t in s.tolist()], dtype="int64")
 
@@ -148,6 +149,24 @@ def pack_documents(docs: DataFrame, containers: DataFrame, vocabulary: str = VOC
     return pack(sized, capacities)
 
 
+def validity(packed: DataFrame, docs: DataFrame, containers: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Per capacity the documents, those packed, overfull containers, documents cut though they fit, and documents whose pieces don't follow each other without gap or overlap.
+
+    Every document has its pieces 0 .. n - 1, each beginning where the one before ends, all but the
+    last as long as the capacity. Keys must be unique.
+    """
+    size = containers.select("container_id", F.col("capacity_tokens").cast("bigint").alias("cap"))
+    full = packed.groupBy("container_id", "container").agg(F.sum("n_tokens").alias("n")).join(F.broadcast(size), "container_id").groupBy("container_id").agg(F.sum((F.col("n") > F.col("cap")).cast("int")).alias("overfull"))
+    each = packed.join(F.broadcast(size), "container_id").groupBy("container_id", key).agg(
+        F.count(F.lit(1)).alias("pieces"), F.count_distinct("piece").alias("numbers"), F.max("piece").alias("last"), F.sum("n_tokens").alias("tokens"), F.first("cap").alias("cap"),
+        F.sum(((F.col("first_token") != F.col("piece") * F.col("cap")) | (F.col("n_tokens") > F.col("cap"))).cast("int")).alias("off"),
+    )
+    broken = (F.col("off") > 0) | (F.col("pieces") != F.col("numbers")) | (F.col("last") != F.col("pieces") - 1) | (F.col("pieces") != F.greatest(F.lit(1), F.ceil(F.col("tokens") / F.col("cap"))))
+    told = each.groupBy("container_id").agg(F.count(F.lit(1)).alias("packed"), F.sum(((F.col("pieces") > 1) & (F.col("tokens") <= F.col("cap"))).cast("int")).alias("needless_cuts"), F.sum(broken.cast("int")).alias("broken"))
+    n = docs.agg(F.count(F.lit(1)).alias("documents"))
+    return size.select("container_id").join(F.broadcast(n)).join(told, "container_id", "left").join(full, "container_id", "left").select("container_id", "documents", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("packed", "overfull", "needless_cuts", "broken")])
+
+
 def fill(packed: DataFrame, containers: DataFrame) -> DataFrame:
     """Per capacity: containers used, tokens packed, and the share of space unused."""
     used = packed.groupBy("container_id").agg(F.countDistinct("container").alias("n_containers"), F.sum("n_tokens").alias("tokens"), F.sum((F.col("piece") > 0).cast("bigint")).alias("cuts"))

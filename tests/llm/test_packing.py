@@ -89,3 +89,15 @@ def test_tokens(spark):
     got = [r[0] for r in df.select(P.token_counts(df["text"])).collect()]
     assert got == [len(enc.encode_ordinary(t)) if t else 0 for t in texts]
     assert all(enc.decode(enc.encode_ordinary(t)) == t for t in texts if t)
+
+
+def test_validity_sees_faults(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "doc_id bigint, text string")
+    boxes = spark.createDataFrame([(0, 10)], "container_id bigint, capacity_tokens bigint")
+    schema = "container_id bigint, doc_id bigint, piece int, first_token bigint, n_tokens bigint, container bigint"
+    one = lambda *rows: tuple(P.validity(spark.createDataFrame([(0, *r) for r in rows], schema), docs, boxes).first())
+    assert one((1, 0, 0, 10, 0), (1, 1, 10, 3, 1), (2, 0, 0, 7, 1), (3, 0, 0, 0, 0)) == (0, 3, 3, 0, 0, 0)
+    assert one((1, 0, 0, 6, 0), (2, 0, 0, 7, 0), (3, 0, 0, 1, 1)) == (0, 3, 3, 1, 0, 0)
+    assert one((1, 0, 0, 6, 0), (1, 1, 6, 1, 1)) == (0, 3, 1, 0, 1, 1)
+    assert one((1, 0, 0, 10, 0), (1, 2, 20, 4, 1)) == (0, 3, 1, 0, 0, 1)
+    assert one((1, 0, 0, 6, 0), (1, 0, 0, 6, 1))[2:] == (1, 0, 0, 1)

@@ -54,3 +54,33 @@ def test_empty_and_single(spark):
     assert S.seen_before(spark.createDataFrame([], s)).count() == 0
     assert [tuple(x) for x in S.seen_before(spark.createDataFrame([("a", 7)], s), spark.createDataFrame([], "oid string")).collect()] == [(7, False)]
     assert [tuple(x) for x in S.seen_before(spark.createDataFrame([(None, 7)], s)).collect()] == [(7, False)]
+
+
+def test_repeated_and_missing_order(spark):
+    """Rows that share an order value, and rows without one, each get one answer of their own."""
+    df = spark.createDataFrame([("aa", 1), ("bb", 5), ("cc", 5), ("dd", 7), ("aa", 7), ("ff", 9), ("bb", None), ("gg", None), ("hh", None), ("hh", None)], "oid string, arrival bigint")
+    got = sorted(map(tuple, S.seen_before(df).collect()), key=str)
+    assert got == sorted([(1, False), (5, False), (5, False), (7, False), (7, True), (9, False), (None, True), (None, False), (None, False), (None, False)], key=str)
+
+
+def test_shards_follow_known_keys(spark, monkeypatch):
+    sizes = []
+    monkeypatch.setattr(S, "parts_for", lambda rows, *a: sizes.append(rows) or 8)
+    S.seen_before(spark.createDataFrame([("k1", 1)], "oid string, arrival bigint"), spark.range(5000).selectExpr("cast(id as string) oid")).count()
+    assert sizes == [5001]
+
+
+def test_sealed_batches(spark, tmp_path):
+    """A second and third batch read the written filters of the ones before, not their keys."""
+    r = random.Random(6)
+    ids = [f"{r.getrandbits(160):040x}" for _ in range(4000)]
+    batches, known = [[(a, r.choice(ids) if a % 50 else None) for a in range(k * 3000, k * 3000 + 3000)] for k in range(3)], set()
+    for g, rows in enumerate(batches):
+        df = spark.createDataFrame([(k, a) for a, k in rows], "oid string, arrival bigint")
+        path = f"{tmp_path}/filters"
+        filters = spark.read.schema(S.FILTERS).parquet(path) if g else spark.createDataFrame([], S.FILTERS)
+        got = {x["arrival"]: x["seen"] for x in S.first_seen(df, filters, 4).collect()}
+        assert got == brute(rows, known)
+        S.seal(df, g, 4).write.mode("append").parquet(path)
+        known |= {k for _, k in rows if k}
+    assert spark.read.parquet(path).groupBy("generation").count().count() == 3
