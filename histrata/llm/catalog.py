@@ -96,8 +96,12 @@ def p8_shares(spark, base):
 @query("p8_cutoffs")
 def p8_cutoffs(spark, base):
     scored = repetition.measure(table(spark, base, "documents").select("doc_id", "doc_kind", "text"))
-    rows = repetition.cutoffs(repetition.holdout(scored, "doc_id"), "doc_kind", "share", "wanted")
-    return spark.createDataFrame(rows, "doc_kind string, good bigint, cutoff double, false_rejections bigint, bound double")
+    return repetition.cutoffs(repetition.holdout(scored, "doc_id"), "doc_kind", repetition.SCORE, "wanted")
+
+
+@query("p8_risk")
+def p8_risk(spark, base):
+    return repetition.risk(table(spark, base, "documents"))
 
 
 @query("p7_found")

@@ -6,11 +6,14 @@ it lies in a sequence of four words that already began earlier in the document.
 texts, batch by batch, without any shuffle: words of a batch become numbers, four-word sequences
 become numbers by exact pairing, and repeats are found by one hash pass.
 
-``cutoffs`` chooses, per stratum, the lowest cutoff on a score for which labelled holdout rows
+``cutoffs`` chooses, per stratum, the lowest cutoff on a cheap score for which labelled holdout rows
 prove a limited share of false rejections: the exact binomial tail P(X <= k | n, alpha) is a valid
 p-value for "the rate is above alpha", cutoffs are tested from the strictest down and testing ends
 at the first failure (fixed sequence), and the level is divided by the number of strata
-(Bonferroni), so with probability 1 - delta all chosen cutoffs hold at once.
+(Bonferroni), so with probability 1 - delta all chosen cutoffs hold at once. The score is
+``line_share``, the share of lines that occurred before, which built-in functions compute; the
+labels are the definition's, from the words, so neither follows from the other. ``risk`` measures the
+cutoffs on rows that had no part in choosing them.
 """
 
 from __future__ import annotations
@@ -24,13 +27,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.runtime import Scratch
+
 #: The length of a repeated sequence, and the share from which a document counts as repetitive.
 GRAM = 4
 SHARE = (2, 5)
 #: Risk control: the allowed rate of false rejections, the error probability, candidate cutoffs, the holdout's part.
 ALPHA, DELTA = 0.02, 0.05
-GRID = tuple(round(0.4 + 0.02 * k, 2) for k in range(21))
+GRID = tuple(round(0.02 * k, 2) for k in range(1, 51))
 HOLDOUT_ONE_IN = 5
+#: The score that cutoffs are on.
+SCORE = "line_share"
+#: Characters worked on at once; an Arrow batch of long texts is taken in pieces.
+CHARS_AT_ONCE = 4_000_000
 
 _DIGITS, _WORD = re.compile(r"\d+"), re.compile(r"[^\W\d]+")
 
@@ -66,6 +75,19 @@ def repeated_counts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return n, np.bincount(doc[covered], minlength=len(n)).astype(np.int64)
 
 
+def pieces_of(texts: list[str | None], chars: int = CHARS_AT_ONCE) -> Iterator[list[str | None]]:
+    """The texts in order, in lists of at most so many characters (or of one text); one empty list for none."""
+    part: list[str | None] = []
+    held = 0
+    for t in texts:
+        if part and held + len(t or "") > chars:
+            yield part
+            part, held = [], 0
+        part.append(t)
+        held += len(t or "")
+    yield part
+
+
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` without its text, with words, repeated, share and line_share.
 
@@ -78,8 +100,8 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     @F.pandas_udf("words bigint, repeated bigint")
     def counted(it: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in it:
-            n, r = repeated_counts(s.tolist())
-            yield pd.DataFrame({"words": n, "repeated": r})
+            parts = [repeated_counts(x) for x in pieces_of(s.tolist())]
+            yield pd.DataFrame({"words": np.concatenate([n for n, _ in parts]), "repeated": np.concatenate([r for _, r in parts])})
 
     lines = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: F.trim(x) != "")
     line_share = F.when(F.size(lines) > 0, 1 - F.size(F.array_distinct(lines)) / F.size(lines)).otherwise(0.0)
@@ -107,45 +129,69 @@ def upper_bound(k: int, n: int, level: float) -> float:
     return high
 
 
-def cutoffs(labelled: DataFrame, stratum: str, score: str, wanted: str, grid: tuple[float, ...] = GRID, alpha: float = ALPHA, delta: float = DELTA) -> list[tuple]:
-    """(stratum, good, cutoff or None, false_rejections, bound) per stratum, from labelled rows.
+def cutoffs(labelled: DataFrame, stratum: str, score: str, wanted: str, grid: tuple[float, ...] = GRID, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """(stratum, good, cutoff or null, false_rejections, bound) per stratum, from labelled rows.
 
-    ``wanted`` marks rows that must not be rejected. Rows are counted in the cluster; what reaches
-    the driver is one row per stratum with a count per cutoff. A null stratum is a stratum of its
-    own; rows with a null score or label prove nothing and are left out; no rows, no strata.
+    ``wanted`` marks rows that must not be rejected. Rows are counted in the cluster, and each
+    stratum's counts are judged there; only the number of strata reaches the driver. A null stratum
+    is a stratum of its own; rows with a null score or label prove nothing and are left out; no
+    rows, no strata.
     """
+    kind = dict(labelled.dtypes)[stratum]
     good = labelled.where(F.col(score).isNotNull() & F.col(wanted))
-    counts = good.groupBy(stratum).agg(F.count(F.lit(1)).alias("n"), *[F.sum((F.col(score) >= c).cast("bigint")).alias(f"k{i}") for i, c in enumerate(grid)])
-    rows = counts.collect()
-    out = []
-    for r in sorted(rows, key=lambda r: (r[0] is not None, r[0])):
-        level, best = delta / len(rows), None
-        for i in sorted(range(len(grid)), key=lambda i: -grid[i]):
-            if binomial_tail(r[f"k{i}"], r["n"], alpha) > level:
-                break
-            best = i
-        k = r[f"k{best if best is not None else 0}"]
-        out.append((r[0], r["n"], grid[best] if best is not None else None, k, upper_bound(k, r["n"], level)))
-    return out
-
-
-def holdout(measured: DataFrame, key: str, one_in: int = HOLDOUT_ONE_IN) -> DataFrame:
-    """The holdout rows, chosen by hash, labelled by the definition (``wanted``: fewer than two fifths repeated)."""
-    part = measured.where(F.pmod(F.xxhash64(key, F.lit(8)), F.lit(one_in)) == 0)
-    return part.withColumn("wanted", F.col("repeated") * SHARE[1] < F.col("words") * SHARE[0])
+    counts = good.groupBy(F.col(stratum).alias("stratum")).agg(F.count(F.lit(1)).alias("n"), F.array(*[F.sum((F.col(score) >= c).cast("bigint")) for c in grid]).alias("k"))
+    strata = good.select(stratum).distinct().count()
+
+    def judge(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            out = []
+            for name, n, ks in zip(pdf["stratum"], pdf["n"], pdf["k"]):
+                level, best = delta / strata, None
+                for i in sorted(range(len(grid)), key=lambda i: -grid[i]):
+                    if binomial_tail(int(ks[i]), int(n), alpha) > level:
+                        break
+                    best = i
+                k = int(ks[best if best is not None else len(grid) - 1])
+                out.append((name, n, grid[best] if best is not None else None, k, upper_bound(k, int(n), level)))
+            yield pd.DataFrame(out, columns=["stratum", "good", "cutoff", "false_rejections", "bound"])
+
+    found = counts.mapInPandas(judge, f"stratum {kind}, good bigint, cutoff double, false_rejections bigint, bound double")
+    return found.withColumnRenamed("stratum", stratum)
+
+
+def repeats(words: str = "words", repeated: str = "repeated"):
+    """Whether at least two fifths of the words are repeated."""
+    return (F.col(words) > 0) & (F.col(repeated) * SHARE[1] >= F.col(words) * SHARE[0])
+
+
+def holdout(measured: DataFrame, key: str, one_in: int = HOLDOUT_ONE_IN, part: int = 0) -> DataFrame:
+    """The rows of one hash part of ``one_in``, labelled by the definition (``wanted``: fewer than two fifths repeated)."""
+    return measured.where(F.pmod(F.xxhash64(key, F.lit(8)), F.lit(one_in)) == part).withColumn("wanted", ~repeats())
+
+
+def judged(docs: DataFrame, key: str = "doc_id", stratum: str = "doc_kind") -> DataFrame:
+    """(key, stratum, words, repeated, share, line_share, cutoff, rejected): every document with its stratum's cutoff; ``rejected``: its score reaches it.
+
+    A stratum whose holdout proves no cutoff has none, and nothing of it is rejected.
+    """
+    scored = Scratch(docs.sparkSession, "repetition").save(measure(docs.select(key, stratum, "text")))
+    found = cutoffs(holdout(scored, key), stratum, SCORE, "wanted").select(F.col(stratum).alias("_stratum"), "cutoff")
+    both = scored.join(found, scored[stratum].eqNullSafe(found["_stratum"]), "left")
+    return both.select(key, stratum, "words", "repeated", "share", SCORE, "cutoff", F.coalesce(F.col(SCORE) >= F.col("cutoff"), F.lit(False)).alias("rejected"))
 
 
 def repetitive(docs: DataFrame, key: str = "doc_id", stratum: str = "doc_kind") -> DataFrame:
-    """(key, words, repeated, share, certified): the documents with at least two fifths repeated words.
+    """(key, words, repeated, share, step): the documents with at least two fifths repeated words.
 
-    A document at or above its stratum's certified cutoff is ``certified``; between the definition's
-    share and that cutoff, or where the holdout proves nothing, the definition alone decides. So no
-    repetitive document is lost where labels are few.
+    ``step`` is "cutoff" where the certified cutoff on the cheap score rejects the document and the
+    exact check agrees, and "check" where the exact check alone finds it: a cutoff limits false
+    rejections, not omissions, and no repetitive document may be lost.
     """
-    scored = measure(docs.select(key, stratum, "text"))
-    found = cutoffs(holdout(scored, key), stratum, "share", "wanted")
-    spark = docs.sparkSession
-    limits = spark.createDataFrame([(s, c) for s, _, c, _, _ in found], f"_stratum {dict(docs.dtypes)[stratum]}, _cutoff double")
-    judged = scored.join(F.broadcast(limits), scored[stratum].eqNullSafe(limits["_stratum"]), "left")
-    by_definition = (F.col("words") > 0) & (F.col("repeated") * SHARE[1] >= F.col("words") * SHARE[0])
-    return judged.where(by_definition).select(key, "words", "repeated", "share", F.coalesce(F.col("share") >= F.col("_cutoff"), F.lit(False)).alias("certified"))
+    return judged(docs, key, stratum).where(repeats()).select(key, "words", "repeated", "share", F.when(F.col("rejected"), "cutoff").otherwise("check").alias("step"))
+
+
+def risk(docs: DataFrame, key: str = "doc_id", stratum: str = "doc_kind") -> DataFrame:
+    """Per stratum the cutoff and, on rows outside the holdout, how many must not be rejected, are rejected all the same, and how many repetitive ones it catches."""
+    rest = judged(docs, key, stratum).where(F.pmod(F.xxhash64(key, F.lit(8)), F.lit(HOLDOUT_ONE_IN)) != 0).withColumn("_r", repeats())
+    c = lambda x: F.count(F.when(x, 1))
+    return rest.groupBy(stratum, "cutoff").agg(c(~F.col("_r")).alias("good"), c(~F.col("_r") & F.col("rejected")).alias("false_rejections"), c(F.col("_r")).alias("repetitive"), c(F.col("_r") & F.col("rejected")).alias("caught"))
