@@ -2,17 +2,21 @@
 
 1. A suite's standing instruction - a first paragraph shared by items of the suite - is cut off.
 2. Item and document words are canonicalised: layout, markup, case and punctuation go, numbers,
-   identifiers and units become typed placeholders.
+   identifiers and units become typed placeholders. A second form also has a placeholder for names of
+   persons, places and products: capitalised words that the items never write small.
 3. Windows of five canonical words are hash-joined: items are the query side, taken in blocks of
    bounded size whose window table is shipped to the executors, and every document probes it in
-   one pass. No pair of documents is formed and nothing is shuffled.
-4. A document and an item that share windows few items have, or many windows, are aligned word by
-   word (local alignment), and the slots under the placeholders are compared: a number, identifier
-   or unit may differ only if it differs the same way wherever it comes up.
-
-A leak is an aligned passage, or a part of one, of at least MIN_WORDS successive words of the item of
-which at least MIN_SAME agree. If instead the placeholders agree and slots were consistently replaced, the pair is
-a re-parameterised item (``kind`` "template").
+   one pass. No pair of documents is formed and nothing is shuffled. One common window makes a
+   candidate, however many items share it, so neither the blocks nor the number of items matter.
+4. A document and a candidate item are aligned word by word (local alignment) where the document is
+   dense in words of the item, and the slots under the placeholders are compared: ``replaced`` slots
+   hold something else than the item's, ``odd`` ones not the same thing wherever they come up.
+
+A leak of kind "text" is an aligned passage, or a part of one, of at least MIN_WORDS successive words of
+the item of which at least MIN_SAME agree literally. If instead the placeholders agree and slots were
+replaced, all consistently, the pair is a re-parameterised item (kind "template").
+
+Not found: passages without any five words in a row unaltered (every fifth word altered).
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words of a window; words and share of agreeing words of a leak; items of a block; documents' windows count as rare up to this many items.
+#: Words of a window; words and share of agreeing words of a leak.
 WINDOW = 5
 MIN_WORDS, MIN_SAME = 24, 0.8
 #: For re-parameterised items: the share of canonical words that agree.
@@ -35,16 +39,22 @@ MIN_TEMPLATE = 0.9
 MIN_DENSE = 0.65
 #: Words that the ends of a passage may lack to alterations.
 SLACK = 2
+#: Item words shipped at once.
 ITEM_WORDS_PER_BLOCK = 2_000_000
-RARE, LEAST_RARE, LEAST_ALL = 3, 1, 6
+#: A passage of MIN_WORDS words of which MIN_TEMPLATE agree has at least so many common windows.
+TEMPLATE_WINDOWS = int(MIN_WORDS * (1 - WINDOW * (1 - MIN_TEMPLATE))) - WINDOW + 1
+#: The longest item, and the longest stretch of a document, that is aligned in one piece; longer ones are cut along the diagonals of their common windows.
+LONG_ITEM, LONG = 1_000, 2_000
+#: Words that begin sentences and are no names.
+FUNCTION_WORDS = frozenset("a an the this that these those it its he she they we you i his her their our my your who what when where why how which if then else and or but so as at by for from in of on to with not no do does did is are was were be been has have had can could will would should may might must after before while each every all some any there here let given find".split())
 #: Alignment scores and the words looked at beyond the first and last common window.
 SAME, OTHER, GAP, MARGIN = 2, -1, -1, 40
 
 #: Units of measure that follow a number.
 UNITS = frozenset("ns us ms s sec secs second seconds min mins minute minutes h hour hours day days week weeks month months year years b kb mb gb tb kib mib gib byte bytes bit bits px pt em m cm mm km g kg lb lbs % percent row rows line lines time times word words".split())
 
-_TAG = re.compile(r"</?[a-zA-Z][^<>\n]{0,80}>|<!--.*?-->", re.S)
-_LINK = re.compile(r"\]\([^()\s]{1,200}\)")
+_TAG = re.compile(r"""</?[a-zA-Z][\w:-]*(?:\s+[\w:-]+\s*=\s*(?:"[^"<>]*"|'[^'<>]*'|[^\s"'<>]+))*\s*/?>|<!--.*?-->""", re.S)
+_LINK = re.compile(r"\]\([^()\s]+\)")
 _LEAD = re.compile(r"(?m)^[ \t]*(?:\d{1,2}:\d{2}:\d{2}(?:[.,]\d+)?[ \t]+[A-Z]{3,8}\b|\d{1,4}[.):](?=\s)|[-+*>#/|;%]+(?=\s))[ \t]*")
 _OUT = re.compile(r"[\W_]+")
 _NUMBER = re.compile(r"[+-]?\d[\d.,:]*")
@@ -99,78 +109,78 @@ def window_hashes(ids: np.ndarray) -> np.ndarray:
     return out
 
 
+class Windows:
+    """The windows of items, ready for probing."""
+
+    def __init__(self, canon: list[list[int]]):
+        h = [window_hashes(np.array(c, dtype=np.int64)) for c in canon]
+        keys = np.concatenate([*h, np.zeros(0, np.uint64)])
+        item, at = np.repeat(np.arange(len(h)), [len(x) for x in h]), np.concatenate([*(np.arange(len(x)) for x in h), np.zeros(0, np.int64)]).astype(np.int64)
+        order = np.argsort(keys, kind="stable")
+        self.item, self.at = item[order], at[order]
+        self.keys, self.start, self.n = np.unique(keys[order], return_index=True, return_counts=True)
+
+    def hits(self, canon: list[int], least: int = 1) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Items that share at least so many windows with a document: item number, and the places of the windows in the document and in the item."""
+        h = window_hashes(np.array(canon, dtype=np.int64))
+        if not len(h) or not len(self.keys):
+            return
+        k = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+        at = np.flatnonzero(self.keys[k] == h)
+        if not len(at):
+            return
+        k = k[at]
+        n = self.n[k]
+        flat = np.repeat(self.start[k] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+        item, place, own = self.item[flat], np.repeat(at, n), self.at[flat]
+        order = np.argsort(item, kind="stable")
+        place, own = place[order], own[order]
+        edges = np.flatnonzero(np.diff(item[order])) + 1
+        item = item[order].tolist()
+        for first, last in zip(cut := [0, *edges.tolist()], [*cut[1:], len(item)]):
+            if last - first >= least:
+                yield item[first], place[first:last], own[first:last]
+
+
 class Items:
-    """The windows of a block of items, ready for probing."""
+    """A block of items: words, canonical words with and without placeholders for names, and their windows."""
 
     def __init__(self, ids: list[int], texts: list[str]):
         self.ids = ids
-        vocabulary: dict[str, int] = {}
-        self.words, self.canon, keys, item, at = [], [], [], [], []
-        for n, t in enumerate(texts):
-            w, c = words_of(t)
-            self.words.append(w)
-            self.canon.append(c)
-            h = window_hashes(np.array([vocabulary.setdefault(x, len(vocabulary) + 1) for x in c], dtype=np.int64))
-            keys.append(h)
-            item.append(np.full(len(h), n))
-            at.append(np.arange(len(h)))
-        self.vocabulary = vocabulary
-        keys, item, at = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (keys, item, at))
-        order = np.argsort(keys, kind="stable")
-        keys, self.item, self.at = keys[order], item[order], at[order]
-        self.keys, self.start, self.n = np.unique(keys, return_index=True, return_counts=True)
+        self.small = FUNCTION_WORDS | {w.strip("*_`~\"'“”‘’()[]{}<>.,;:!?") for t in texts for w in pieces_of(t) if w[:1].islower()}
+        self.vocabulary: dict[str, int] = {"<unit>": 1}
         self.numbers: dict[str, int] = {}
         self.known: dict[str, tuple] = {}
-        self.word_sets = [frozenset(self.numbers.setdefault(x, len(self.numbers) + 1) for x in w) for w in self.words]
-        self.canon_sets = [frozenset(vocabulary[x] for x in c) for c in self.canon]
-        number = np.repeat(np.arange(len(self.keys)), self.n)
-        self.windows = self._windows(number)
-        self.df = np.array([len(np.unique(self.item[s : s + n])) for s, n in zip(self.start, self.n)], dtype=np.int64)
-
-    def _windows(self, number: np.ndarray) -> list[frozenset[int]]:
-        """The windows of each item."""
-        out: list[set[int]] = [set() for _ in self.ids]
-        for i, w in zip(self.item.tolist(), number.tolist()):
-            out[i].add(w)
-        return [frozenset(x) for x in out]
-
-    def encode(self, text: str) -> tuple[list[str], list[str], list[int], list[int]]:
-        """Words, canonical words, and the numbers of both (0: in no item)."""
-        words, canon, ids, slots, known, unit = [], [], [], [], self.known, self.vocabulary.get("<unit>", 0)
+        self.open = True
+        self.words, self.canon, self.named, self.word_ids, self.canon_ids, self.named_ids = (list(x) for x in zip(*map(self.encode, texts))) if texts else ([], [], [], [], [], [])
+        self.open = False
+        self.known.clear()
+        self.word_numbers = [np.array(x, dtype=np.int64) for x in self.word_ids]
+        self.word_sets, self.named_sets = [frozenset(x) for x in self.word_ids], [frozenset(x) for x in self.named_ids]
+        self.plain, self.template = Windows(self.canon_ids), Windows(self.named_ids)
+
+    def _number(self, table: dict[str, int], word: str) -> int:
+        """The number of a word; 0 for one in no item."""
+        return table.setdefault(word, len(table) + 1) if self.open else table.get(word, 0)
+
+    def encode(self, text: str) -> tuple[list[str], list[str], list[str], list[int], list[int], list[int]]:
+        """Words, canonical words, canonical words with names replaced, and the numbers of all three."""
+        rows, known, number = [], self.known, False
         for raw in pieces_of(text):
             got = known.get(raw)
             if got is None:
                 w, c = _word(raw)
-                got = known[raw] = (w, c, self.numbers.get(w, 0), self.vocabulary.get(c, 0), w in UNITS)
+                core = raw.strip("*_`~\"'“”‘’()[]{}<>.,;:!?")
+                n = "<name>" if c == w and core[:1].isupper() and core.lower() not in self.small and core.removesuffix("'s").isalpha() else c
+                i = self._number(self.numbers, w)
+                plain = (w, c, n, i, self._number(self.vocabulary, c), self._number(self.vocabulary, n))
+                got = known[raw] = (plain if w else None, (w, "<unit>", "<unit>", i, 1, 1) if w in UNITS and c != "<num>" else plain, c == "<num>")
                 if len(known) > KNOWN_WORDS:
                     known.clear()
-            w, c, i, k, is_unit = got
-            if w:
-                if is_unit and canon and canon[-1] == "<num>" and c != "<num>":
-                    c, k = "<unit>", unit
-                words.append(w)
-                canon.append(c)
-                ids.append(i)
-                slots.append(k)
-        return words, canon, ids, slots
-
-    def candidates(self, slots: list[int]) -> dict[int, list[int]]:
-        """Items that share enough windows with the document's canonical words: item number -> places of the windows."""
-        h = window_hashes(np.array(slots, dtype=np.int64))
-        if not len(h) or not len(self.keys):
-            return {}
-        k = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-        at = np.flatnonzero(self.keys[k] == h)
-        if not len(at):
-            return {}
-        met = np.unique(k[at])
-        n = self.n[met]
-        flat = np.repeat(self.start[met] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-        item = self.item[flat]
-        every = np.bincount(item, minlength=len(self.ids))
-        rare = np.bincount(item[np.repeat(self.df[met] <= RARE, n)], minlength=len(self.ids))
-        hits = list(zip(at.tolist(), k[at].tolist()))
-        return {int(i): [p for p, w in hits if w in self.windows[i]] for i in np.flatnonzero((rare >= LEAST_RARE) | (every >= LEAST_ALL))}
+            if got[0] is not None:
+                rows.append(got[number])
+                number = got[2]
+        return tuple(map(list, zip(*rows))) if rows else ([], [], [], [], [], [])
 
 
 def dense(ids: list[int], own: frozenset[int], least: float) -> bool:
@@ -263,42 +273,94 @@ def stretches(places: list[int], reach: int) -> list[tuple[int, int]]:
     return out
 
 
-def slices(found: list[tuple[int, int]], n: int, item: int) -> Iterator[tuple[int, int]]:
-    """Document ranges to align: each stretch with a margin, long ones cut into pieces that overlap by two items' lengths."""
-    long = max(2000, 4 * item)
-    for first, last in found:
-        low, high = max(0, first - MARGIN), min(n, last + WINDOW + MARGIN)
-        while high - low > long:
-            yield low, low + long
-            low += long - 2 * item
-        yield low, high
-
+def pieces(place: np.ndarray, own: np.ndarray, n: int, item: int) -> Iterator[tuple[int, int, int, int]]:
+    """(first and last word of the document, of the item) to align, from the places of common windows.
 
-def judge(items: Items, text: str | None) -> list[tuple[int, str, int, int]]:
-    """(item_id, kind, words of the item's passage, agreeing words) of every item that leaked into a text."""
+    Stretches of windows with a margin, against the whole item. Where either is long, stretches are
+    made of windows on neighbouring diagonals and cut into pieces that overlap by more than a
+    passage's length, each against the part of the item that its diagonals lead to. So what is
+    aligned at once is bounded whatever the lengths.
+    """
+    def short(at: np.ndarray) -> Iterator[tuple[int, int]]:
+        for first, last in stretches(at.tolist(), MARGIN):
+            yield max(0, first - MARGIN), min(n, last + WINDOW + MARGIN)
+
+    if item <= LONG_ITEM:
+        whole = list(short(place))
+        yield from ((low, high, 0, item) for low, high in whole if high - low <= LONG)
+        rest = [(low, high) for low, high in whole if high - low > LONG]
+        if not rest:
+            return
+        keep = np.zeros(len(place), dtype=bool)
+        for low, high in rest:
+            keep |= (place >= low) & (place < high)
+        place, own = place[keep], own[keep]
+    diagonal = place - own
+    order = np.argsort(diagonal, kind="stable")
+    place, diagonal = place[order], diagonal[order]
+    for s, e in zip(cut := [0, *(np.flatnonzero(np.diff(diagonal) > MARGIN) + 1).tolist()], [*cut[1:], len(place)]):
+        for low, high in short(place[s:e]):
+            while low < high:
+                end = min(high, low + LONG)
+                here = diagonal[s:e][(place[s:e] >= low) & (place[s:e] < end)]
+                if len(here):
+                    yield low, end, max(0, low - int(here.max()) - MARGIN), min(item, end - int(here.min()) + MARGIN)
+                if end == high:
+                    break
+                low = end - 4 * MARGIN
+
+
+def literal(place: np.ndarray, own: np.ndarray, ids: np.ndarray, item: np.ndarray) -> int:
+    """The length of the longest run of windows on one diagonal whose words are literally the item's, in words; 0 if none reaches MIN_WORDS."""
+    if len(place) < MIN_WORDS - WINDOW + 1:
+        return 0
+    order = np.lexsort((place, place - own))
+    p, q = place[order], own[order]
+    ends = [0, *(np.flatnonzero((np.diff(p) != 1) | (np.diff(q) != 1)) + 1).tolist(), len(p)]
+    best = 0
+    for s, e in zip(ends, ends[1:]):
+        n = e - s + WINDOW - 1
+        if n > max(best, MIN_WORDS - 1):
+            odd = np.flatnonzero(ids[p[s] : p[s] + n] != item[q[s] : q[s] + n])
+            run = int(np.diff([-1, *odd.tolist(), n]).max()) - 1
+            best = max(best, run if run >= MIN_WORDS else 0)
+    return best
+
+
+def judge(items: Items, text: str | None) -> list[tuple[int, str, int, int, int, int]]:
+    """(item_id, kind, words of the item's passage, agreeing words, replaced slots, odd slots) of every item that leaked into a text."""
     if not text:
         return []
-    words, canon, ids, slot_ids = items.encode(text)
-    found = items.candidates(slot_ids)
-    out = []
-    for n, places in found.items():
-        item, slots = items.words[n], items.canon[n]
+    words, canon, named, ids, slots, names = items.encode(text)
+    numbers, out, told = np.array(ids, dtype=np.int64), [], set()
+    for n, place, own in items.plain.hits(slots):
+        if sum(map(items.word_sets[n].__contains__, ids[max(0, int(place.min()) - MARGIN) : int(place.max()) + WINDOW + MARGIN])) < MIN_SAME * (MIN_WORDS - SLACK):
+            continue  # too few words of the item near any common window
+        run = literal(place, own, numbers, items.word_numbers[n])
+        best = (run, run, 0, 0) if run else None
+        if not run:
+            for low, high, i, j in pieces(place, own, len(words), len(items.words[n])):
+                got = None
+                if dense(ids[low:high], items.word_sets[n], MIN_SAME * (MIN_WORDS - SLACK)):
+                    got = passage(words[low:high], ids[low:high], items.words[n][i:j], items.word_sets[n])
+                if got and (best is None or got[1] > best[1]):
+                    pairs = align(canon[low:high], items.canon[n][i:j])[2]
+                    best = (*got, *consistent(words[low:high], items.words[n][i:j], items.canon[n][i:j], pairs))
+        if best:
+            told.add(n)
+            out.append((items.ids[n], "text", *best))
+    for n, place, own in items.template.hits(names, TEMPLATE_WINDOWS):
         best = None
-        for low, high in slices(stretches(places, MARGIN), len(words), len(item)):
-            got = None
-            if dense(ids[low:high], items.word_sets[n], MIN_SAME * (MIN_WORDS - SLACK)):
-                passed = passage(words[low:high], ids[low:high], item, items.word_sets[n])
-                got = passed and ("text", *passed)
-            if got is None and dense(slot_ids[low:high], items.canon_sets[n], MIN_TEMPLATE * MIN_WORDS):
-                j0, j1, pairs = align(canon[low:high], slots)
-                agree = sum(canon[low + p] == slots[q] for p, q in pairs)
+        for low, high, i, j in pieces(place, own, len(words), len(items.words[n])) if n not in told else ():
+            if dense(names[low:high], items.named_sets[n], MIN_TEMPLATE * MIN_WORDS):
+                item, slots = items.words[n][i:j], items.named[n][i:j]
+                j0, j1, pairs = align(named[low:high], slots)
+                agree = sum(named[low + p] == slots[q] for p, q in pairs)
                 replaced, odd = consistent(words[low:high], item, slots, pairs)
-                if j1 - j0 + 1 >= MIN_WORDS and agree >= MIN_TEMPLATE * (j1 - j0 + 1) and replaced and not odd:
-                    got = ("template", j1 - j0 + 1, agree)
-            if got and (best is None or (got[0] == "text", got[2]) > (best[0] == "text", best[2])):
-                best = got
+                if j1 - j0 + 1 >= MIN_WORDS and agree >= MIN_TEMPLATE * (j1 - j0 + 1) and replaced and not odd and (best is None or agree > best[1]):
+                    best = (j1 - j0 + 1, agree, replaced, odd)
         if best:
-            out.append((items.ids[n], *best))
+            out.append((items.ids[n], "template", *best))
     return out
 
 
@@ -311,7 +373,7 @@ def own_wording(items: DataFrame) -> DataFrame:
 
 
 def leaks(docs: DataFrame, items: DataFrame, words_per_block: int = ITEM_WORDS_PER_BLOCK) -> DataFrame:
-    """(doc_id, item_id, kind, span, same) of every document and item that leaked into it.
+    """(doc_id, item_id, kind, span, same, replaced, odd) of every document and item that leaked into it.
 
     ``docs``: doc_id, text; ``items``: item_id, suite, text. Null and empty texts and items of
     fewer than 24 words of their own give nothing. Repeated rows of either side are reported as
@@ -331,8 +393,8 @@ def leaks(docs: DataFrame, items: DataFrame, words_per_block: int = ITEM_WORDS_P
             ready = Items(*block.value)
             for pdf in it:
                 found = [(d, *x) for d, t in zip(pdf["doc_id"].tolist(), pdf["text"].tolist()) for x in judge(ready, t)]
-                yield pd.DataFrame(found, columns=["doc_id", "item_id", "kind", "span", "same"])
+                yield pd.DataFrame(found, columns=["doc_id", "item_id", "kind", "span", "same", "replaced", "odd"])
 
-        part = docs.select("doc_id", "text").mapInPandas(run, "doc_id bigint, item_id bigint, kind string, span int, same int")
+        part = docs.select("doc_id", "text").mapInPandas(run, "doc_id bigint, item_id bigint, kind string, span int, same int, replaced int, odd int")
         out = part if out is None else out.unionByName(part)
     return out

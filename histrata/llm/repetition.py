@@ -35,7 +35,7 @@ SHARE = (2, 5)
 #: Risk control: the allowed rate of false rejections, the error probability, candidate cutoffs, the holdout's part.
 ALPHA, DELTA = 0.02, 0.05
 GRID = tuple(round(0.02 * k, 2) for k in range(1, 51))
-HOLDOUT_ONE_IN = 5
+HOLDOUT_ONE_IN = 2
 #: The score that cutoffs are on.
 SCORE = "line_share"
 #: Characters worked on at once; an Arrow batch of long texts is taken in pieces.

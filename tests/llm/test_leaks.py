@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from histrata.llm import leaks as L
 
 WORDS = [f"{a}{b}{c}" for a in "br kl st fl".split() for b in "aeiou" for c in "nd rk ve lp mish torn".split()]
@@ -62,10 +64,45 @@ def test_reparameterised_items(spark):
     assert got[3] == "text" and got.get(1) in ("template", "text") and (2 not in got or got[2] == "text")
 
 
-def test_long_documents_are_cut_with_overlap():
-    assert list(L.slices([(0, 9000)], 9050, 100))[0] == (0, 2000)
-    parts = list(L.slices([(0, 9000)], 9050, 100))
-    assert parts[-1][1] == 9045 and all(b[0] == a[1] - 200 for a, b in zip(parts, parts[1:]))
+def test_long_texts_are_cut_with_overlap():
+    n = np.arange(9000)
+    parts = list(L.pieces(n, n + 5, 9050, 20_000))
+    assert all(h - g <= L.LONG and j - i <= L.LONG + 2 * L.MARGIN + 5 for g, h, i, j in parts) and parts[-1][1] == 9044
+    assert all(b[0] == a[1] - 4 * L.MARGIN for a, b in zip(parts, parts[1:]))
+    assert list(L.pieces(np.array([50]), np.array([3]), 500, 60)) == [(10, 95, 0, 60)]
+
+
+def test_very_long_item_and_document():
+    r = random.Random(8)
+    item = sentence(r, 20_000).split()
+    items = L.Items([7], [" ".join(item)])
+    alter = lambda ws: [w if k % 8 else "zzz" for k, w in enumerate(ws)]
+    doc = sentence(r, 3000).split() + alter(item[15_000:18_000]) + sentence(r, 3000).split()
+    assert [x[:2] for x in L.judge(items, " ".join(doc))] == [(7, "text")]
+    assert L.judge(items, sentence(r, 9000)) == []
+
+
+def test_siblings_hide_nothing(spark):
+    """A quotation with altered words is found however many items share its words, and however the items are cut into blocks."""
+    r = random.Random(4)
+    own = sentence(r, 24).split()
+    items = [(i, "s", " ".join([*own, *sentence(r, 20).split()])) for i in range(12)]
+    quote = list(own)
+    for k in (6, 12, 18):
+        quote[k] = "zzz"
+    df = spark.createDataFrame([(0, sentence(r, 30) + " " + " ".join(quote) + " " + sentence(r, 30))], "doc_id bigint, text string")
+    it = spark.createDataFrame(items, "item_id bigint, suite string, text string")
+    for per in (2_000_000, 100):
+        assert {x["item_id"] for x in L.leaks(df, it, per).collect()} == set(range(12))
+
+
+def test_names_and_numbers_as_slots():
+    item = "Alice has 12 apples. She gives 5 to Robert and walks to Bristol, where Robert sells them for 3 coins each. How many coins does Robert have after Alice takes 2 of them back to Bristol and Robert meets Alice with 5 more?"
+    new = item.replace("Alice", "Maria").replace("Robert", "Stephen").replace("Bristol", "Leeds").replace("12", "14").replace("5", "9").replace("3 coins", "8 coins").replace("takes 2", "takes 6")
+    items = L.Items([7], [item])
+    assert [x[:2] for x in L.judge(items, new)] == [(7, "template")]
+    assert L.judge(items, new.replace("Stephen", "Peter", 1)) == []
+    assert [x[:2] for x in L.judge(items, item)] == [(7, "text")]
 
 
 def test_exact_passage_before_a_reworded_rest():
