@@ -334,7 +334,8 @@ def judge(items: Items, text: str | None) -> list[tuple[int, str, int, int, int,
     words, canon, named, ids, slots, names = items.encode(text)
     numbers, out, told = np.array(ids, dtype=np.int64), [], set()
     for n, place, own in items.plain.hits(slots):
-        if sum(map(items.word_sets[n].__contains__, ids[max(0, int(place.min()) - MARGIN) : int(place.max()) + WINDOW + MARGIN])) < MIN_SAME * (MIN_WORDS - SLACK):
+        low, high = max(0, int(place[0]) - MARGIN), int(place[-1]) + WINDOW + MARGIN
+        if high - low < 4 * MARGIN and sum(map(items.word_sets[n].__contains__, ids[low:high])) < MIN_SAME * (MIN_WORDS - SLACK):
             continue  # too few words of the item near any common window
         run = literal(place, own, numbers, items.word_numbers[n])
         best = (run, run, 0, 0) if run else None

@@ -8,7 +8,7 @@
    meet), with the other token. Blocks hold distinct spellings, never copies.
 3. Pairs are compared by Jaro-Winkler, a one-edit bound and a table of nicknames. One of the two
    tokens must agree exactly or by nickname, unless an e-mail address used by nobody else says
-   more. Two given names that are both frequent are two names, not a typing error.
+   more. Two given names are a typing error only if one stands with far fewer surnames than the other.
 4. A name with an initial only joins the one group it fits; where it fits several, the e-mail
    address has to decide, and otherwise it stays alone.
 5. Accepted pairs are clustered by connected components.
@@ -27,11 +27,13 @@ from pyspark.sql import functions as F
 from ..functions.runtime import Scratch
 from ..operators.components import components
 
-#: Parameters: least Jaro-Winkler similarity of tokens one edit apart; a given name is frequent from so many surnames;
-#: an address of more than so many surnames is shared.
+#: Parameters: least Jaro-Winkler similarity of tokens one edit apart; a misspelt given name stands with fewer surnames than
+#: the right one by this factor; an address is somebody's own if this share of the names that use it sound alike in surname.
 LEAST_SIMILARITY = 0.85
-FREQUENT = 8
-SHARED_MAIL = 2
+RARER = 4
+OWN_SHARE = 0.5
+#: Phonetic codes of fewer symbols tell too little; such tokens are blocked by their letters less one only.
+SHORT_CODE = 4
 #: Surnames from this length on may be two errors apart if the given name is the same.
 LONG = 10
 
@@ -46,9 +48,9 @@ NICKNAMES = {
         "dora": "dorothea theodora", "thea": "dorothea", "dot": "dorothea dorothy", "dolly": "dorothea dorothy", "dima": "dmitri", "mitya": "dmitri", "ed": "edward edwin", "eddie": "edward", "ned": "edward", "ted": "edward theodore", "teddy": "edward theodore", "theo": "theodore", "ellie": "eleanor", "nell": "eleanor", "nellie": "eleanor", "nora": "eleanor",
         "liz": "elizabeth", "beth": "elizabeth", "betty": "elizabeth", "lizzie": "elizabeth", "eliza": "elizabeth", "betsy": "elizabeth", "libby": "elizabeth", "fin": "fintan", "frank": "francisco francis franz", "paco": "francisco", "pancho": "francisco", "fran": "francisco frances", "cisco": "francisco", "fred": "frederick", "freddy": "frederick", "freddie": "frederick", "fritz": "frederick friedrich",
         "gabi": "gabriela", "gaby": "gabriela", "gabby": "gabriela", "gianni": "giovanni", "vanni": "giovanni", "gio": "giovanni", "greg": "gregory", "hans": "johannes", "jo": "johannes josephine joseph joanna", "jan": "johannes", "johan": "johannes", "jen": "jennifer", "jenny": "jennifer", "jenn": "jennifer", "jon": "jonathan", "jonny": "jonathan", "johnny": "jonathan john", "josie": "josephine", "josy": "josephine",
-        "kate": "katherine", "katie": "katherine", "kathy": "katherine", "kat": "katherine", "kay": "katherine", "kofi": "kofi", "lotte": "charlotte", "maggie": "margaret", "meg": "margaret", "peggy": "margaret", "greta": "margaret", "madge": "margaret", "marge": "margaret", "matt": "matthew", "matty": "matthew", "mat": "matthew",
+        "kate": "katherine", "katie": "katherine", "kathy": "katherine", "kat": "katherine", "kay": "katherine", "lotte": "charlotte", "maggie": "margaret", "meg": "margaret", "peggy": "margaret", "greta": "margaret", "madge": "margaret", "marge": "margaret", "matt": "matthew", "matty": "matthew", "mat": "matthew",
         "mike": "michael mikhail", "mick": "michael", "mikey": "michael", "misha": "mikhail", "moni": "monica", "nick": "nicholas", "nico": "nicholas", "nicky": "nicholas", "klaus": "nicholas", "pat": "patricia patrick", "trish": "patricia", "patty": "patricia", "tricia": "patricia", "pippa": "philippa", "pip": "philippa", "phil": "philippa philip", "ros": "rosalind", "roz": "rosalind", "rosie": "rosalind", "rosa": "rosalind",
-        "sam": "samuel samantha", "sammy": "samuel", "sue": "susanna susan", "suzy": "susanna", "susie": "susanna", "suzie": "susanna", "tom": "thomas tomasz", "tommy": "thomas", "tomek": "tomasz", "ulli": "ulrike", "uli": "ulrike", "rike": "ulrike", "vicky": "victoria", "vicki": "victoria", "tori": "victoria", "vic": "victoria", "vik": "vikram", "zuza": "zuzana", "zuzka": "zuzana", "yara": "yara", "jack": "john", "jim": "james", "joe": "joseph", "larry": "laurence lawrence", "steve": "stephen steven",
+        "sam": "samuel samantha", "sammy": "samuel", "sue": "susanna susan", "suzy": "susanna", "susie": "susanna", "suzie": "susanna", "tom": "thomas tomasz", "tommy": "thomas", "tomek": "tomasz", "ulli": "ulrike", "uli": "ulrike", "rike": "ulrike", "vicky": "victoria", "vicki": "victoria", "tori": "victoria", "vic": "victoria", "vik": "vikram", "zuza": "zuzana", "zuzka": "zuzana", "jack": "john", "jim": "james", "joe": "joseph", "larry": "laurence lawrence", "steve": "stephen steven",
     }.items()
 }
 
@@ -152,12 +154,22 @@ def sound(token: str) -> str:
     return ("A" if t[:1] in "aeiouy" and t else "") + re.sub(r"[^A-Z]", "", code)
 
 
-def blocks(token: str) -> set[str]:
+def codes_of(token: str) -> set[str]:
     """The phonetic code of a token, and the code less each one symbol."""
     c = sound(token)
     return {c} | {re.sub(r"(.)\1+", r"\1", c[:i] + c[i + 1 :]) for i in range(len(c))}
 
 
+def blocks(token: str) -> set[str]:
+    """The codes of a token, but for short ones of a short token, and itself less each one letter.
+
+    One letter may change a code by several symbols ("ph"), so tokens one letter apart are sure to
+    meet by letters only; codes find those two letters apart. No block holds all short names.
+    """
+    out = {f"={x}" for t in {token, plain(token)} for x in (t, *(t[:i] + t[i + 1 :] for i in range(len(t))))}
+    return out | codes_of(token) if len(sound(token)) >= SHORT_CODE or len(token) >= LONG else out
+
+
 #: For each name the first letters of its short forms.
 _SHORT_LETTERS: dict[str, set[str]] = {}
 for _nick, _names in NICKNAMES.items():
@@ -207,7 +219,7 @@ def parse(name: str | None) -> tuple[str, str, str] | None:
     for side, part in enumerate(parts):
         part = re.sub(r"^\s*([^\W\d_]+)[-]([^\W\d_]+(?:-[^\W\d_]+)?)\s*$", r"\1 \2", part) if len(parts) == 1 and part == part.lower() else part
         for t in re.split(r"[\s._]+", part):
-            f = re.sub(r"[^a-z]", "", fold(t))
+            f = re.sub(r"[\W\d_]", "", fold(t))
             if f and f not in TITLES:
                 tokens.append((f, shout(t), side))
     merged: list[tuple[str, bool, int]] = []
@@ -275,7 +287,7 @@ def same_given(a: str, b: str, fa: int, fb: int) -> str:
     """"same", "typo" or "" for two full given names seen with fa and fb surnames."""
     if plain(a) == plain(b) or formal(a) & formal(b):
         return "same"
-    if max(len(a), len(b)) >= 4 and similar(a, b) and not (min(fa, fb) >= FREQUENT):
+    if max(len(a), len(b)) >= 4 and similar(a, b) and (min(fa, fb) * RARER <= max(fa, fb) or max(fa, fb) < RARER):
         return "typo"
     return ""
 
@@ -297,7 +309,7 @@ def accepted(ka: str, ga: str, sa: str, fa: int, kb: str, gb: str, sb: str, fb:
 def _keys(kind: str, g: str, s: str, mails: list[str]) -> set[str]:
     if kind == "o":
         return {f"o|{b}|{g}" for b in blocks(s)}
-    out = {f"m|{b}|{m}" for m in mails for b in blocks(s)}
+    out = {f"m|{b}|{m}" for m in mails for b in codes_of(s)}
     if len(g) > 1:
         out |= {f"s|{plain(s)}|{b}" for b in blocks(g)}
         out |= {f"s|{plain(s)}|={n}" for n in formal(g)}
@@ -311,21 +323,26 @@ def clusters(signatures: DataFrame) -> tuple[DataFrame, Scratch]:
     sigs = scratch.save(nodes_of(signatures))
     named = sigs.groupBy("kind", "g", "s").agg(F.array_sort(F.collect_set("mail")).alias("all_mails"), F.array_sort(F.collect_set(F.when(F.col("hint") != "", F.col("hint")))).alias("hints"))
     freq = named.where("kind = 'p'").groupBy("g").agg(F.count(F.lit(1)).alias("f"))
-    nodes = scratch.save(named.join(freq, "g", "left").withColumn("f", F.coalesce("f", F.lit(0))).withColumn("id", F.monotonically_increasing_id()))
-    # addresses of few surnames, per node
-    owned = nodes.select("id", F.explode("all_mails").alias("mail"), F.substring("s", 1, 3).alias("s3"))
-    few = owned.groupBy("mail").agg(F.count_distinct("s3").alias("n")).where(F.col("n") <= SHARED_MAIL).select("mail")
+    bare = scratch.save(named.join(freq, "g", "left").withColumn("f", F.coalesce("f", F.lit(0))).withColumn("id", F.monotonically_increasing_id()))
+    # addresses whose names mostly sound alike in surname, per node
+
+    @F.pandas_udf("string")
+    def codes(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: sound(x) or x)
+
+    owned = bare.select("id", F.explode("all_mails").alias("mail"), codes("s").alias("code"))
+    few = owned.groupBy("mail", "code").agg(F.count(F.lit(1)).alias("n")).groupBy("mail").agg(F.max("n").alias("most"), F.sum("n").alias("all")).where(F.col("most") >= OWN_SHARE * F.col("all")).select("mail")
     own = owned.join(few, "mail", "left_semi").select("id", "mail").distinct()
     # an address spelled given.surname speaks for the name it spells
     found = lambda pattern, k: F.regexp_extract("mail", pattern, k)
     shapes = [(r"^([a-z]{3,})[._]([a-z]{4,})@", 1, 2), (r"^([a-z]{5,})[._]([a-z])@", 2, 1), (r"^([a-z])([a-z]{5,})[0-9]*@", 1, 2)]
     spelled = [own.select("id", F.concat_ws(" ", found(p, x), found(p, y)).alias("mail")).where("mail <> ' '") for p, x, y in shapes]
-    full = nodes.where("kind = 'p' AND length(g) > 2").select("id", F.explode(F.array(F.concat_ws(" ", "g", "s"), F.concat_ws(" ", F.substring("g", 1, 1), F.col("s")))).alias("mail"))
+    full = bare.where("kind = 'p' AND length(g) > 2").select("id", F.explode(F.array(F.concat_ws(" ", "g", "s"), F.concat_ws(" ", F.substring("g", 1, 1), F.col("s")))).alias("mail"))
     for more in (*spelled, full):
         own = own.unionByName(more)
     own = own.distinct()
     mails = own.groupBy("id").agg(F.collect_set("mail").alias("mails"))
-    nodes = scratch.save(nodes.drop("all_mails").join(mails, "id", "left").withColumn("mails", F.coalesce("mails", F.array().cast("array<string>"))))
+    nodes = scratch.save(bare.drop("all_mails").join(mails, "id", "left").withColumn("mails", F.coalesce("mails", F.array().cast("array<string>"))))
 
     @F.pandas_udf("array<string>")
     def keys(kind: pd.Series, g: pd.Series, s: pd.Series, m: pd.Series) -> pd.Series:
@@ -346,7 +363,9 @@ def clusters(signatures: DataFrame) -> tuple[DataFrame, Scratch]:
     weak = _initials(nodes, groups)
     final = scratch.save(_labelled(nodes, strong.unionByName(weak), scratch))
     out = sigs.join(nodes.select("kind", "g", "s", "id"), ["kind", "g", "s"]).join(final, "id").select("sig_id", F.col("entity"))
-    return scratch.save(out), scratch
+    out = scratch.save(out)
+    scratch.release(sigs, keyed, strong, groups, final, bare, nodes)
+    return out, scratch
 
 
 def _labelled(nodes: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -387,7 +406,7 @@ def _initials(nodes: DataFrame, groups: DataFrame) -> DataFrame:
 def variants(signatures: DataFrame) -> DataFrame:
     """(sig_a, sig_b), sig_a < sig_b: every pair of signatures of one entity.
 
-    ``signatures``: sig_id, name, email. A null, empty or letterless name belongs to nobody and is
+    ``signatures``: sig_id, name, email. A null, empty or letterless name (of any script) belongs to nobody and is
     in no pair; a null e-mail says nothing. Repeated sig_ids count once. An empty table gives an
     empty result.
     """

@@ -51,3 +51,28 @@ def test_groups(spark):
 def test_many_copies_of_one_name(spark):
     df = spark.range(600).selectExpr("id as sig_id", "case when id % 3 = 0 then 'Ravi Shupol' else concat('Ravi Nam', id) end as name", "cast(null as string) as email")
     assert N.variants(df).where("sig_a % 3 = 0 AND sig_b % 3 = 0").count() == 200 * 199 // 2
+
+
+def test_more_data_changes_no_decision():
+    """Whether two given names are one misspelt depends on how often they occur beside each other, not on how much there is."""
+    for scale in (1, 10, 1000):
+        assert N.same_given("marek", "marrek", 120 * scale, 3 * scale) == "typo"
+        assert N.same_given("jana", "jara", 120 * scale, 80 * scale) == ""
+
+
+def test_blocks_meet_one_letter_apart():
+    import random
+
+    r = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    for _ in range(3000):
+        t = "".join(r.choice(letters) for _ in range(r.randint(3, 11)))
+        k, c = r.randrange(len(t)), r.choice(letters)
+        for u in (t[:k] + t[k + 1 :], t[:k] + c + t[k:], t[:k] + c + t[k + 1 :], t[:k] + t[k : k + 2][::-1] + t[k + 2 :]):
+            if N.similar(t, u):
+                assert N.blocks(t) & N.blocks(u), (t, u)
+
+
+def test_any_script(spark):
+    rows = [(1, "Борис Иванов", "a@x.test"), (2, "Иванов, Борис", None), (3, "Борис Петров", None)]
+    assert [tuple(x) for x in N.variants(spark.createDataFrame(rows, "sig_id bigint, name string, email string")).collect()] == [(1, 2)]
