@@ -134,6 +134,11 @@ def p3_restored(spark, base):
     return mojibake.restored(table(spark, base, "commits"))
 
 
+@query("p3_steps")
+def p3_steps(spark, base):
+    return mojibake.steps(table(spark, base, "commits"))
+
+
 @query("p3_mappings")
 def p3_mappings(spark, base):
     return mojibake.mappings(table(spark, base, "commits"))

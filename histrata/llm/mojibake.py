@@ -32,11 +32,16 @@ from ..functions.runtime import Scratch
 #: Encodings considered, by Python's names. SINGLE read one byte a character, DOUBLE are Japanese.
 SINGLE = ("cp1252", "cp1250", "iso8859_2", "cp1251", "koi8_r", "cp866", "mac_roman", "cp437", "cp850", "cp852", "iso8859_15")
 DOUBLE = ("cp932", "euc_jp")
+#: Double-byte encodings that twins may vote for, too.
+FAMILIES = ("gb18030", "big5", "euc_kr")
 #: UTF-8 read under one of these is recognised without a twin.
 STRICT = ("cp1252", "cp1250", "iso8859_2", "cp1251", "mac_roman", "cp437", "cp850", "cp852", "iso8859_15")
 #: A twin occurs at least so often, and so many times as often as the garbled word; a pair of encodings needs so many distinct words.
 TWIN_COUNT, TWIN_RATIO, VOTES = 3, 3, 2
 
+#: The name of a mapping that no pair of encodings explains; such a one counts where most twins of the garbled run agree on it.
+OWN, AGREED = "own", 2 / 3
+
 #: A reading without a much more frequent twin is so much likelier by letter pairs, a character and as a whole; most of its pairs stand in so many distinct words.
 GAIN, GAIN_ALL, PAIR_WORDS = 1.0, 6.0, 2
 #: A word of ordinary shape ("Çelik") is re-read without such a twin only if it has so many characters beyond ASCII.
@@ -90,23 +95,33 @@ def read(data: bytes | None, encoding: str) -> str | None:
         return None
 
 
+#: First and last code points of the scripts and symbols that texts are made of: Latin to Cyrillic and Armenian;
+#: Hebrew, Arabic and its supplement; Devanagari to Malayalam; Thai; Georgian; Latin extensions to symbols and arrows; kana;
+#: Han; Hangul; forms of width and variation selectors; emoji.
+SCRIPTS = ((0xA0, 0x58F), (0x590, 0x6FF), (0x750, 0x77F), (0x900, 0xD7F), (0xE00, 0xE7F), (0x10A0, 0x10FF), (0x1E00, 0x27FF), (0x2B00, 0x2BFF), (0x3000, 0x30FF), (0x4E00, 0x9FFF), (0xAC00, 0xD7AF), (0xFE00, 0xFE0F), (0xFF00, 0xFFEF), (0x1F000, 0x1FAFF))
+
+
 def plausible(text: str) -> bool:
     """Whether all characters are of kinds that texts are made of: assigned, no controls, of scripts in wide use."""
     for c in text:
-        if c < "\x80" or c == "\xad":
+        if c < "\x80" or c in "\xad\u200d\u200c\u200e\u200f":
             continue
-        kind = unicodedata.category(c)
         o = ord(c)
-        if kind[0] == "C" or not (0xA0 <= o < 0x590 or 0x1E00 <= o < 0x2800 or 0x3000 <= o < 0x3100 or 0x4E00 <= o < 0xA000 or 0xAC00 <= o < 0xD7B0 or 0xFF00 <= o < 0xFFF0):
+        if unicodedata.category(c)[0] == "C" or not any(first <= o <= last for first, last in SCRIPTS):
             return False
     return True
 
 
+def _short_right_to_left(text: str) -> bool:
+    """Whether a reading is one letter of a script whose letters are two bytes in UTF-8, as two Cyrillic or accented letters give by chance."""
+    return len(text) == 1 and 0x590 <= ord(text) < 0x780
+
+
 def strictly(run: str) -> tuple[str, str] | None:
     """(restored, pair) if a whole run of non-ASCII characters reads as UTF-8, once or twice."""
     for wrong in STRICT:
         got = read(to_bytes(run, wrong), "utf-8")
-        if got and len(got) < len(run) and plausible(got):
+        if got and len(got) < len(run) and plausible(got) and not _short_right_to_left(got):
             again = strictly(got) if _RUN.fullmatch(got) else None
             return (again[0] if again else got), f"utf_8>{wrong}"
     if len(run) >= 2:
@@ -200,7 +215,7 @@ def aligned(garbled: str, clean: str) -> list[tuple[str, str]]:
 def pairs_for(garbled: str, clean: str) -> list[str]:
     """The pairs of encodings under which a clean run reads as a garbled one."""
     out = []
-    for right in (*SINGLE, "utf-8", *DOUBLE):
+    for right in (*SINGLE, "utf-8", *DOUBLE, *FAMILIES):
         data = to_bytes(clean, right)
         if data is None:
             continue
@@ -256,24 +271,47 @@ class Learned:
         # twins that are frequent but not much more frequent count if letter pairs tell which is the garbled one
         close = met.where(~shown).mapInPandas(gains, "word string, reading string, pair string, own bigint, n bigint, gain double").where("gain > 0")
         self.hits = self.scratch.save(met.where(shown).unionByName(close.drop("gain")).select("word", "reading", "pair", "n"))
-        voted = self.twins.where(~F.col("pair").endswith(">lost")).select("pair", "word").unionByName(self.hits.select("pair", "word")).groupBy("pair").agg(F.count_distinct("word").alias("votes"))
+        voted = self.twins.where(~F.col("pair").endswith(">lost") & (F.col("pair") != OWN)).select("pair", "word").unionByName(self.hits.select("pair", "word")).groupBy("pair").agg(F.count_distinct("word").alias("votes"))
         self.voted = self.scratch.save(voted.where(F.col("votes") >= VOTES))
         sure = self.scratch.save(self.hits.join(F.broadcast(self.voted), "pair").groupBy("word").agg(F.max_by("reading", F.struct("votes", "n", "reading")).alias("reading"), F.max_by("pair", F.struct("votes", "n", "reading")).alias("pair")))
         # the remaining words have no frequent twin: each voted pair is applied, and letter pairs decide
         rest = again.join(sure.select("word"), "word", "left_anti").join(F.broadcast(self.voted), "pair").select("word", "n", "reading", "pair", "votes")
         rest = rest.mapInPandas(gains, "word string, n bigint, reading string, pair string, votes bigint, gain double").where("gain > 0")
         self.guessed = self.scratch.save(rest.groupBy("word").agg(F.max_by("reading", F.struct("gain", "votes", "reading")).alias("reading"), F.max_by("pair", F.struct("gain", "votes", "reading")).alias("pair")))
+        # what is left, if not shaped as words are: each run is replaced as aligned twins showed, whatever encodings explain it
+        self.mapped = self.scratch.save(self._mapped(vocabulary.join(sure.select("word").unionByName(self.guessed.select("word")), "word", "left_anti").join(clean.where(F.col("n") >= TWIN_COUNT).select("word"), "word", "left_anti"), model))
         # replacement signs: the one frequent word with the same skeleton and as many lost characters
         back = self.twins.where(F.col("pair").endswith(">lost")).groupBy("word").agg(F.count_distinct("twin").alias("k"), F.max_by("twin", F.struct("n", "twin")).alias("reading")).where("k = 1")
-        known = sure.unionByName(self.guessed)
-        known = back.select("word", "reading", F.lit("lost").alias("pair")).unionByName(known.join(back, "word", "left_anti"))
-        swaps = self.scratch.save(words.join(known, "word").groupBy("token").agg(F.array_sort(F.collect_set(F.struct((-F.length("word")).alias("l"), "word", "reading"))).alias("swaps"), F.min_by("pair", "word").alias("learned")))
+        step = lambda d, name: d.select("word", "reading", "pair", F.lit(name).alias("step"))
+        known = step(sure, "twin").unionByName(step(self.guessed, "mapping")).unionByName(step(self.mapped, "mapping"))
+        known = step(back.withColumn("pair", F.lit("lost")), "twin").unionByName(known.join(back, "word", "left_anti"))
+        swaps = self.scratch.save(words.join(known, "word").groupBy("token").agg(F.array_sort(F.collect_set(F.struct((-F.length("word")).alias("l"), "word", "reading"))).alias("swaps"), F.min_by("pair", "word").alias("learned"), F.min("step").alias("step")))
         swapped = self.direct.join(swaps, "token", "full").where("pair IS NOT NULL OR learned <> 'lost'")
         text = F.aggregate(F.coalesce("swaps", F.array().cast("array<struct<l:int,word:string,reading:string>>")), F.coalesce("restored", "token"), lambda m, x: F.replace(m, x["word"], x["reading"]))
-        swapped = swapped.select("token", text.alias("restored"), F.coalesce("pair", "learned").alias("pair"))
-        self.tokens = self.scratch.save(swapped.select("token", F.when(F.col("restored") != F.col("token"), F.col("restored")).alias("restored"), "pair", (~F.col("restored").rlike(r"[\x{80}-\x{9f}\x{fffd}]") & (F.col("restored") != F.col("token"))).alias("whole")))
+        swapped = swapped.select("token", text.alias("restored"), F.coalesce("pair", "learned").alias("pair"), F.coalesce(F.when(F.col("pair").isNotNull(), F.when(F.col("pair").isin("lost", "control"), F.col("pair")).otherwise("strict")), "step").alias("step"))
+        self.tokens = self.scratch.save(swapped.select("token", F.when(F.col("restored") != F.col("token"), F.col("restored")).alias("restored"), "pair", "step", (~F.col("restored").rlike(r"[\x{80}-\x{9f}\x{fffd}]") & (F.col("restored") != F.col("token"))).alias("whole")))
         self.messages = messages
 
+    def _mapped(self, words: DataFrame, model) -> DataFrame:
+        """(word, reading, pair) of words all of whose runs have a mapping that aligned twins agree on, where letter pairs confirm the reading."""
+        shown = self.twins.where(~F.col("pair").endswith(">lost")).groupBy("garbled", "clean").agg(F.count_distinct("word").alias("k"), F.min("pair").alias("pair"))
+        every = shown.groupBy("garbled").agg(F.sum("k").alias("all"), F.max(F.struct("k", "clean", "pair")).alias("top"))
+        good = every.where((F.col("top.k") >= VOTES) & (F.col("top.k") >= AGREED * F.col("all"))).select(F.col("garbled").alias("run"), F.col("top.clean").alias("clean"), F.col("top.pair").alias("pair"))
+        runs = words.select("word", "n", F.explode(F.array_distinct(F.regexp_extract_all("word", F.lit(r"[^\x00-\x7F]+"), F.lit(0)))).alias("run"))
+        full = runs.join(good, "run", "left").groupBy("word", "n").agg(F.array_sort(F.collect_list(F.struct("run", "clean"))).alias("maps"), F.count(F.when(F.col("clean").isNull(), 1)).alias("open"), F.min("pair").alias("pair")).where("open = 0")
+
+        def apply(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in it:
+                out = []
+                for word, maps, pair in zip(pdf["word"], pdf["maps"], pdf["pair"]):
+                    table = {m["run"]: m["clean"] for m in maps}
+                    reading = _RUN.sub(lambda m: table[m.group()], word)
+                    if odd(word) and plausible(reading) and gain(word, reading, model.value) > 0:
+                        out.append((word, reading, pair))
+                yield pd.DataFrame(out, columns=["word", "reading", "pair"])
+
+        return full.mapInPandas(apply, "word string, reading string, pair string")
+
 
 def _pairs(word: str) -> list[str]:
     """The neighbouring characters of a word, its ends included."""
@@ -323,7 +361,7 @@ def _readings(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _votes(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in it:
-        yield pd.DataFrame([(w, t, n, g, c, p) for w, t, n in zip(pdf["word"], pdf["twin"], pdf["n"]) for g, c in aligned(w, t) if g != c for p in pairs_for(g, c)], columns=["word", "twin", "n", "garbled", "clean", "pair"])
+        yield pd.DataFrame([(w, t, n, g, c, p) for w, t, n in zip(pdf["word"], pdf["twin"], pdf["n"]) for g, c in aligned(w, t) if g != c for p in pairs_for(g, c) or [OWN]], columns=["word", "twin", "n", "garbled", "clean", "pair"])
 
 
 def _skeleton(c: str):
@@ -341,12 +379,27 @@ def damaged(commits: DataFrame) -> DataFrame:
 
 
 def restored(commits: DataFrame) -> DataFrame:
-    """(oid, message, restored, complete): damaged messages with their damaged tokens replaced; ``complete``: none remained unknown."""
+    """(oid, message, restored, complete, steps): damaged messages with their damaged tokens replaced, each where it is a token of its own.
+
+    ``complete``: none remained unknown. ``steps``: which steps found the damage ("strict": a run
+    reads strictly as UTF-8 or Japanese double bytes; "twin": a near-twin; "mapping": a learned
+    mapping without a twin; "lost", "control": signs that no clean text has).
+    """
+    learned = Learned(commits)
+    each = tokens_of(learned.messages).join(learned.tokens, "token")
+    swaps = each.groupBy("oid").agg(F.map_from_entries(F.collect_set(F.struct("token", F.coalesce("restored", "token").alias("to")))).alias("swaps"), F.min("whole").alias("complete"), F.array_sort(F.collect_set("step")).alias("steps"))
+
+    @F.pandas_udf("string")
+    def replaced(message: pd.Series, swaps: pd.Series) -> pd.Series:
+        return pd.Series([re.sub(r"[^\x00-\x20]+", lambda m, t=dict(t): t.get(m.group(), m.group()), x) for x, t in zip(message, swaps)])
+
+    return learned.messages.join(swaps, "oid").select("oid", "message", replaced("message", "swaps").alias("restored"), "complete", "steps")
+
+
+def steps(commits: DataFrame) -> DataFrame:
+    """(step, commits, tokens): how many distinct commits and tokens each step of the method found damaged."""
     learned = Learned(commits)
-    each = learned.messages.select("oid", "message", F.explode(F.array_distinct(F.regexp_extract_all("message", F.lit(r"[^\x00-\x20]*[^\x00-\x7F][^\x00-\x20]*"), F.lit(0)))).alias("token"))
-    hit = each.join(learned.tokens, "token").groupBy("oid", "message").agg(F.array_sort(F.collect_list(F.struct((-F.length("token")).alias("l"), "token", "restored", "whole"))).alias("swaps"))
-    text = F.aggregate("swaps", F.col("message"), lambda m, s: F.replace(m, s["token"], F.coalesce(s["restored"], s["token"])))
-    return hit.select("oid", "message", text.alias("restored"), F.forall("swaps", lambda s: s["whole"]).alias("complete"))
+    return tokens_of(learned.messages).join(learned.tokens, "token").groupBy("step").agg(F.count_distinct("oid").alias("commits"), F.count_distinct("token").alias("tokens"))
 
 
 def mappings(commits: DataFrame) -> DataFrame:

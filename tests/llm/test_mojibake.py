@@ -74,3 +74,24 @@ def test_every_word_of_a_token_is_restored(spark):
     rows = _corpus(1) + [("two", "/".join(garble(w, "koi8_r", "cp1251") for w in ("проверки", "история"))), ("half", garble("проверки", "koi8_r", "cp1251") + "/x\x85y")]
     back = {r["oid"]: (r["restored"], r["complete"]) for r in M.restored(spark.createDataFrame(rows, "oid string, message string")).collect()}
     assert back["two"] == ("проверки/история", True) and back["half"] == ("проверки/x\x85y", False)
+
+
+def test_scripts_and_emoji():
+    from histrata.llm import mojibake as M
+
+    for text in ("😀", "🚀🚀", "مرحبا", "สวัสดี", "שלום", "नमस्ते", "👩‍💻"):
+        for wrong in ("cp1252", "cp1251", "cp437"):
+            run = M.read(text.encode(), wrong)
+            assert M.direct(run) and M.direct(run)[1] == text, (text, wrong)
+        assert M.direct(text.encode().decode("latin-1"))[1] == text
+        assert M.direct(text) is None
+    assert M.direct("ШЁ") is None and M.direct("Шёл") is None
+
+
+def test_tokens_are_replaced_whole(spark):
+    """A damaged token inside a longer one is no occurrence of it."""
+    from histrata.llm import mojibake as M
+
+    rows = [("a", "ÃƒÂ¼ber Ã¼ xÃ¼x Ã¼"), ("b", "plain"), ("c", "😀 fine"), ("d", "ðŸ˜€ garbled")]
+    got = {r["oid"]: r for r in M.restored(spark.createDataFrame(rows, "oid string, message string")).collect()}
+    assert set(got) == {"a", "d"} and got["a"]["restored"] == "über ü xüx ü" and got["d"]["restored"] == "😀 garbled" and got["d"]["steps"] == ["strict"]
