@@ -58,7 +58,7 @@ def resolve(forest, commits: DataFrame, refs: DataFrame, repo: str, text: str) -
         found = full.select("oid").where("oid IS NOT NULL")
     for op, arg in steps[1:]:
         if op == "~":
-            at = found.join(forest.paths, "oid").where(F.col("depth") >= arg)
+            at = forest.paths_of(found).where(F.col("depth") >= arg)
             found = at.select(F.element_at("path", F.col("depth").cast("int") + 1 - int(arg)).alias("oid"))
         elif op == "^":
             if arg:

@@ -19,7 +19,7 @@ from .tables import RepoTables
 
 
 class Forest:
-    """The first-parent forest of all commits: paths, intervals and the edges that leave it."""
+    """The first-parent forest of all commits: intervals and the edges that leave it."""
 
     def __init__(self, tables: RepoTables, stop: Column | None = None):
         """``stop``: a condition on commit columns; commits it holds of count as without parents."""
@@ -35,12 +35,26 @@ class Forest:
         cut = self.endless.select(F.col("cycle_oid").alias("oid")).distinct().withColumn("_cut", F.lit(True))
         nodes = self.scratch.save(nodes.join(cut, "oid", "left").select("id", "oid", F.when(F.col("_cut").isNull(), F.col("pid")).alias("pid")))
         self.placed = self.scratch.save(intervals(nodes, self.rows, self.scratch, acyclic=True))
-        self.paths = self.scratch.save(paths(self.placed, self.rows))
         known = slim.select(F.col("oid").alias("parent"))
         edges = slim.select(F.col("oid").alias("child"), F.posexplode("parents").alias("ord", "parent")).where(F.col("parent").isNotNull() & (F.col("parent") != ""))
         self.edges = self.scratch.save(edges.join(known, "parent", "left_semi").select("child", "ord", "parent"))
         self.jumps = self.scratch.save(self.edges.where("ord > 0").unionByName(self.edges.where("ord = 0").join(cut.withColumnRenamed("oid", "child"), "child", "left_semi").select("child", "ord", "parent")).select("child", "parent").distinct())
 
+    @classmethod
+    def of(cls, tables: RepoTables) -> Forest:
+        """The forest of these tables, built once an application for as long as the files of the commits are the same (names, sizes, times)."""
+        f = tables.raw("commits").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+        stamp = f.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*f.columns).cast("decimal(38,0)"))).first()
+        key = (tables.spark.sparkContext.applicationId, tables.base, *stamp)
+        if key not in _BUILT:
+            _BUILT.clear()  # at most one is remembered
+            _BUILT[key] = cls(tables)
+        return _BUILT[key]
+
+    def paths_of(self, wanted: DataFrame) -> DataFrame:
+        """(oid, depth, path from the root) of the commits asked for (oid); no path of any other is made."""
+        return paths(self.placed, self.rows, wanted=wanted).select("oid", "depth", "path")
+
     def closure(self, starts: DataFrame) -> DataFrame:
         """For starts (label, oid): (label, oid) of everything each label reaches, starts included.
 
@@ -49,7 +63,8 @@ class Forest:
         new = starts.select("label", "oid").where(F.col("oid").isNotNull()).distinct().join(self.commits.select("oid"), "oid", "left_semi").select("label", "oid")
         seen = None
         while True:
-            up = new.join(self.paths.select("oid", "path"), "oid").select("label", F.explode("path").alias("oid")).distinct()
+            new = self.scratch.save(new)
+            up = new.join(self.paths_of(new), "oid").select("label", F.explode("path").alias("oid")).distinct()
             fresh = self.scratch.save(up if seen is None else up.join(seen, ["label", "oid"], "left_anti"))
             if fresh.isEmpty():
                 return fresh if seen is None else seen
@@ -68,7 +83,8 @@ class Forest:
         new = starts.select("label", "oid").where(F.col("oid").isNotNull()).distinct().join(known, "oid", "left_semi").select("label", "oid", F.lit(0).cast("bigint").alias("level"))
         seen = None
         while True:
-            path = new.join(self.paths.select("oid", "depth", "path"), "oid").select("label", (F.col("level") + F.col("depth")).alias("_top"), F.posexplode("path").alias("_at", "oid"))
+            new = self.scratch.save(new)
+            path = new.join(self.paths_of(new), "oid").select("label", (F.col("level") + F.col("depth")).alias("_top"), F.posexplode("path").alias("_at", "oid"))
             low = path.groupBy("label", "oid").agg(F.min(F.col("_top") - F.col("_at")).alias("level"))
             if seen is not None:
                 old = seen.withColumnRenamed("level", "_old")
@@ -110,7 +126,7 @@ class Forest:
 
         Commits on or below circles have no generation and are left out.
         """
-        depth = self.scratch.save(self.paths.select("oid", "depth").join(self.endless, "oid", "left_anti"))
+        depth = self.scratch.save(self.placed.select("oid", "depth").join(self.endless, "oid", "left_anti"))
         others = self.edges.where("ord > 0").select("child", "parent")
         base = self.scratch.save(depth.select("oid", F.lit(1).cast("bigint").alias("base")))
         before = None
@@ -127,9 +143,12 @@ class Forest:
             base = new
 
 
+_BUILT: dict[tuple, Forest] = {}
+
+
 def reachable(tables: RepoTables, starts: DataFrame) -> DataFrame:
     """(label, oid): what each label's starts (label, oid) reach, themselves included."""
-    return Forest(tables).closure(starts)
+    return Forest.of(tables).closure(starts)
 
 
 def is_ancestor(forest: Forest, pairs: DataFrame) -> DataFrame:

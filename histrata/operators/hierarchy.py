@@ -101,23 +101,32 @@ def intervals(nodes: DataFrame, rows: int, scratch: Scratch, acyclic: bool = Fal
     return forest.select("id", "oid").join(placed, "id")
 
 
-def paths(placed: DataFrame, rows: int, block: int = BLOCK) -> DataFrame:
-    """(oid, root_oid, depth, n_descendants, path ARRAY<STRING> from the root to the node)."""
+def paths(placed: DataFrame, rows: int, block: int = BLOCK, wanted: DataFrame | None = None) -> DataFrame:
+    """(oid, root_oid, depth, n_descendants, path ARRAY<STRING> from the root to the node).
+
+    ``wanted`` (oid): only paths of these are made, and only blocks that hold one of them are swept.
+    """
     buckets = parts_for(rows, ROWS_PER_BUCKET, 8)
     spans = F.sequence(F.floor(F.col("entry") / block), F.floor(F.col("leave") / block))
     spread = placed.select("oid", "root", "entry", "leave", "n_descendants", F.pmod(F.xxhash64("root"), F.lit(buckets)).alias("bucket"), F.explode(spans).alias("block"))
+    if wanted is None:
+        spread = spread.withColumn("asked", F.lit(True))
+    else:
+        asked = wanted.select("oid").distinct().withColumn("asked", F.lit(True))
+        held = placed.join(asked, "oid").select(F.pmod(F.xxhash64("root"), F.lit(buckets)).alias("bucket"), F.floor(F.col("entry") / block).alias("block")).distinct()
+        spread = spread.join(held, ["bucket", "block"], "left_semi").join(asked, "oid", "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
 
     def sweep(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["root", "entry"], kind="stable")
         start = int(pdf["block"].iloc[0]) * block
         out, stack, tree = [], [], None
-        for oid, root, entry, leave, n in zip(pdf["oid"], pdf["root"], pdf["entry"], pdf["leave"], pdf["n_descendants"]):
+        for oid, root, entry, leave, n, asked in zip(pdf["oid"], pdf["root"], pdf["entry"], pdf["leave"], pdf["n_descendants"], pdf["asked"]):
             if root != tree:
                 stack, tree = [], root
             while stack and stack[-1][1] < entry:
                 stack.pop()
             stack.append((oid, leave))
-            if entry >= start:
+            if asked and entry >= start:
                 path = [x for x, _ in stack]
                 out.append((oid, path[0], len(path) - 1, n, path))
         return pd.DataFrame(out, columns=["oid", "root_oid", "depth", "n_descendants", "path"])

@@ -70,12 +70,12 @@ def whole_filtered_levels(t: RepoTables, starts: DataFrame, valid: Column, stop:
     return Forest(t, stop).levels(starts).join(shown, "oid", "left_semi").select("label", "oid", "level")
 
 
-def objects_of(commits: DataFrame, trees: DataFrame, entries: DataFrame, scratch: Scratch, levels: int = 1024) -> DataFrame:
+def objects_of(commits: DataFrame, trees: DataFrame, entries: DataFrame, scratch: Scratch) -> DataFrame:
     """(label, oid, type): commits (label, oid), their trees (oid, tree_oid), and all that hangs below by entries (tree_oid, mode, oid); submodules are passed over."""
     new = scratch.save(commits.join(trees, "oid").select("label", F.col("tree_oid").alias("oid")).distinct())
     out = commits.select("label", "oid", F.lit("commit").alias("type")).unionByName(new.select("label", "oid", F.lit("tree").alias("type")))
     seen = new
-    for _ in range(levels):
+    while True:
         below = new.join(entries.where("mode <> 57344").withColumnRenamed("oid", "_o"), new["oid"] == entries["tree_oid"]).select("label", F.col("_o").alias("oid"), F.when(F.col("mode") == 16384, "tree").otherwise("blob").alias("type")).distinct()
         below = scratch.save(below.join(seen.select("label", "oid"), ["label", "oid"], "left_anti"))
         out = out.unionByName(below)
@@ -92,14 +92,23 @@ def new_objects(files: DataFrame, parents: DataFrame) -> DataFrame:
     return files.select("tree", "path", "blob").join(old, ["tree", "path", "blob"], "left_anti")
 
 
-def peel(tags: DataFrame, starts: DataFrame, hops: int = 10) -> DataFrame:
-    """(oid, target, target_type): what starts (oid) come to when tags (oid, target_oid, target_type) are followed; no tag stays itself with a null type."""
-    state = starts.select("oid", F.col("oid").alias("target"), F.lit(None).cast("string").alias("target_type"))
-    chain = tags.select(F.col("oid").alias("_o"), "target_oid", F.col("target_type").alias("_t"))
-    for _ in range(hops):
-        j = state.join(chain, state["target"] == chain["_o"], "left")
-        state = j.select("oid", F.coalesce("target_oid", "target").alias("target"), F.coalesce("_t", "target_type").alias("target_type"))
-    return state
+def peel(tags: DataFrame, starts: DataFrame) -> DataFrame:
+    """(oid, target, target_type): what starts (oid) come to when tags (oid, target_oid, target_type) are followed to the end; no tag stays itself with a null type.
+
+    Chains may have any length; tags that point to each other in a circle have a null target.
+    """
+    scratch = Scratch(tags.sparkSession, "peel")
+    state = starts.select("oid", F.col("oid").alias("target"), F.lit(None).cast("string").alias("target_type"), F.array(F.col("oid")).alias("way"))
+    chain = scratch.save(tags.select(F.col("oid").alias("_o"), "target_oid", F.col("target_type").alias("_t")).where("target_oid IS NOT NULL"))
+    done = None
+    while True:
+        j = scratch.save(state.join(chain, state["target"] == chain["_o"], "left"))
+        ended = j.where("_o IS NULL").select("oid", "target", "target_type")
+        circle = j.where(F.array_contains("way", F.col("target_oid"))).select("oid", F.lit(None).cast("string").alias("target"), F.lit(None).cast("string").alias("target_type"))
+        done = ended.unionByName(circle) if done is None else done.unionByName(ended).unionByName(circle)
+        state = scratch.save(j.where(~F.array_contains("way", F.col("target_oid"))).select("oid", F.col("target_oid").alias("target"), F.col("_t").alias("target_type"), F.array_append("way", F.col("target_oid")).alias("way")))
+        if state.isEmpty():
+            return done
 
 
 def reachable_tags(tags: DataFrame, objects: DataFrame) -> DataFrame:
@@ -110,7 +119,7 @@ def reachable_tags(tags: DataFrame, objects: DataFrame) -> DataFrame:
 
 def newest_haves(forest: Forest, refs: DataFrame, k: int = 100) -> DataFrame:
     """(repo, name, oid): up to ``k`` first-parent ancestors of every reference (repo, name, oid), nearest first: what a client says it has."""
-    p = refs.join(forest.paths.select("oid", "path"), "oid")
+    p = refs.join(forest.paths_of(refs), "oid")
     return p.select("repo", "name", F.explode(F.slice("path", F.greatest(F.lit(1), F.size("path") - (k - 1)), F.lit(k))).alias("oid"))
 
 

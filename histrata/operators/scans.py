@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import names as N
+from ..functions.runtime import Scratch
 from .tables import RepoTables
 
 
@@ -52,26 +53,43 @@ def overlay(upper: DataFrame, lower: DataFrame, key: list[str], deleted: DataFra
 def prefix_matches(store: DataFrame, prefixes: DataFrame) -> DataFrame:
     """For prefixes (prefix): (prefix, n, oid): how many distinct objects begin with it, and the object if it is the only one.
 
-    Joined on the prefix cut to each length that occurs, so no pairs are formed by comparison.
+    Objects are first cut down by the shortest length that occurs; only what is left is joined on
+    the prefix of each length, so no pairs are formed by comparison.
     """
     sizes = sorted(r[0] for r in prefixes.where(F.col("prefix").isNotNull()).select(F.length("prefix")).distinct().collect())  # at most as many as an id has digits
     if not sizes:
         return prefixes.distinct().select("prefix", F.lit(0).cast("bigint").alias("n"), F.lit(None).cast("string").alias("oid"))
     each = F.explode(F.array(*[F.substring("oid", 1, k) for k in sizes]))
-    cut = store.where(F.col("oid").isNotNull()).select("oid").distinct().select(each.alias("prefix"), "oid").distinct()
+    short = prefixes.where(F.col("prefix").isNotNull()).select(F.substring("prefix", 1, sizes[0]).alias("_s")).distinct()
+    near = store.where(F.col("oid").isNotNull()).select("oid", F.substring("oid", 1, sizes[0]).alias("_s")).join(short, "_s", "left_semi")
+    cut = near.select("oid").distinct().select(each.alias("prefix"), "oid").distinct().join(prefixes.select("prefix").distinct(), "prefix", "left_semi")
     found = cut.groupBy("prefix").agg(F.count(F.lit(1)).alias("n"), F.min("oid").alias("oid"))
     return prefixes.distinct().join(found, "prefix", "left").select("prefix", F.coalesce("n", F.lit(0)).alias("n"), F.when(F.col("n") == 1, F.col("oid")).alias("oid"))
 
 
-def resolve_symbolic(refs: DataFrame, hops: int = 10) -> DataFrame:
-    """(repo, name, oid, hops): every reference followed to an id; those that end nowhere or exceed ``hops`` have a null oid."""
-    state = refs.select("repo", "name", "oid", "target", F.lit(0).alias("hops"))
-    plain = refs.select(F.col("repo").alias("r2"), F.col("name").alias("n2"), F.col("oid").alias("o2"), F.col("target").alias("t2"))
+#: Fixed value: the most references that are followed from one to the next.
+MOST_HOPS = 1024
+
+
+def resolve_symbolic(refs: DataFrame, hops: int = MOST_HOPS) -> DataFrame:
+    """(repo, name, oid, hops): every reference followed to an id; those that end nowhere, run in a circle or exceed ``hops`` have a null oid.
+
+    A round follows only references that are still open, so rounds are as many as the longest chain has links.
+    """
+    scratch = Scratch(refs.sparkSession, "symbolic")
+    plain = scratch.save(refs.select(F.col("repo").alias("r2"), F.col("name").alias("n2"), F.col("oid").alias("o2"), F.col("target").alias("t2")))
+    out = refs.where("oid IS NOT NULL OR target IS NULL").select("repo", "name", "oid", F.lit(0).alias("hops"))
+    state = refs.where("oid IS NULL AND target IS NOT NULL").select("repo", "name", "target", F.lit(0).alias("hops"), F.array(F.col("name")).alias("way"))
     for _ in range(hops):
-        step = state.join(plain, (state["repo"] == plain["r2"]) & (state["target"] == plain["n2"]), "left")
-        go = F.col("oid").isNull() & F.col("target").isNotNull()
-        state = step.select("repo", "name", F.when(go, F.col("o2")).otherwise(F.col("oid")).alias("oid"), F.when(go, F.col("t2")).alias("target"), (F.col("hops") + F.when(go & F.col("n2").isNotNull(), 1).otherwise(0)).alias("hops"))
-    return state.select("repo", "name", "oid", F.col("hops").cast("bigint").alias("hops"))
+        step = scratch.save(state.join(plain, (state["repo"] == plain["r2"]) & (state["target"] == plain["n2"]), "left"))
+        n = F.col("hops") + F.col("n2").isNotNull().cast("int")
+        open_ = F.col("o2").isNull() & F.col("t2").isNotNull() & ~F.array_contains("way", F.col("target"))
+        out = out.unionByName(step.where(~open_).select("repo", "name", F.col("o2").alias("oid"), n.alias("hops")))
+        state = scratch.save(step.where(open_).select("repo", "name", F.col("t2").alias("target"), n.alias("hops"), F.array_append("way", F.col("target")).alias("way")))
+        if state.isEmpty():
+            break
+    out = out.unionByName(state.select("repo", "name", F.lit(None).cast("string").alias("oid"), "hops"))
+    return out.select("repo", "name", "oid", F.col("hops").cast("bigint").alias("hops"))
 
 
 def expand_names(wanted: DataFrame, refs: DataFrame) -> DataFrame:

@@ -185,10 +185,9 @@ def blame(versions: DataFrame, links: DataFrame) -> DataFrame:
 
     Every version is compared with its parents; a line that a parent has unchanged points to it
     (the first such parent), and the ends of these pointers, found by list ranking, are the
-    origins. No history is walked by one task. Lines are numbered from 1, at most 2^20 a version.
+    origins. No history is walked by one task. Lines are numbered from 1, as many as there are.
     """
     scratch = Scratch(versions.sparkSession, "blame")
-    size = 1 << 20
     v = versions.select("ver", "text")
     pairs = links.where(F.col("parent").isNotNull()).join(v, "ver").join(v.select(F.col("ver").alias("parent"), F.col("text").alias("before")), "parent")
 
@@ -196,11 +195,14 @@ def blame(versions: DataFrame, links: DataFrame) -> DataFrame:
         for pdf in it:
             rows = []
             for ver, o, parent, new, old in zip(pdf["ver"], pdf["ord"], pdf["parent"], pdf["text"], pdf["before"]):
-                rows += [(ver * size + j, o, parent * size + i) for op, i, j in line_script(split_lines(old), split_lines(new)) if op == "="]
-            yield pd.DataFrame(rows, columns=["e", "ord", "nxt"])
+                rows += [(ver, j, o, parent, i) for op, i, j in line_script(split_lines(old), split_lines(new)) if op == "="]
+            yield pd.DataFrame(rows, columns=["ver", "n", "ord", "parent", "m"])
 
-    kept = pairs.select("ver", "ord", "parent", "text", "before").mapInPandas(run, "e bigint, ord int, nxt bigint").groupBy("e").agg(F.min_by("nxt", "ord").alias("nxt"))
-    lines = v.select("ver", F.posexplode(F.regexp_extract_all("text", F.lit(r"[^\n]*\n|[^\n]+"), F.lit(0))).alias("n", "line")).select((F.col("ver") * size + F.col("n")).alias("e"), "line")
+    kept = pairs.select("ver", "ord", "parent", "text", "before").mapInPandas(run, "ver bigint, n int, ord int, parent bigint, m int").groupBy("ver", "n").agg(F.min_by(F.struct("parent", "m"), "ord").alias("from"))
+    lines = v.select("ver", F.posexplode(F.regexp_extract_all("text", F.lit(r"[^\n]*\n|[^\n]+"), F.lit(0))).alias("n", "line")).withColumn("e", F.monotonically_increasing_id())
     lines = scratch.save(lines)
+    number = lines.select(F.col("ver").alias("pv"), F.col("n").alias("pn"), F.col("e").alias("nxt"))
+    kept = kept.select("ver", "n", F.col("from.parent").alias("pv"), F.col("from.m").alias("pn")).join(number, ["pv", "pn"]).join(lines.select("ver", "n", "e"), ["ver", "n"]).select("e", "nxt")
     ranked = list_rank(lines.select("e").join(kept, "e", "left").select("e", "nxt", F.lit(0).alias("w")), scratch)
-    return lines.join(ranked, "e").select(F.shiftright("e", 20).alias("ver"), (F.col("e") % size + 1).alias("line_no"), F.rtrim(F.col("line"), F.lit("\n")).alias("text"), F.shiftright("last", 20).alias("origin"))
+    origin = lines.select(F.col("e").alias("last"), F.col("ver").alias("origin"))
+    return lines.join(ranked, "e").join(origin, "last").select("ver", (F.col("n") + 1).cast("bigint").alias("line_no"), F.rtrim(F.col("line"), F.lit("\n")).alias("text"), "origin")

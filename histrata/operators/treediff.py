@@ -38,15 +38,16 @@ def summary(diff: DataFrame) -> DataFrame:
 def name_similarity(a: Column, b: Column) -> Column:
     """Likeness of two paths, 0 to 100: half for the common end of the base names, a quarter each for the folders' common beginning and end.
 
-    Each part is the common length over the longer length; two empty folders are alike.
+    A folder ends with its separator. Each part is the common length over the longer length, in
+    whole hundredths; two empty folders are alike.
     """
-    folder = lambda p: F.regexp_extract(p, r"^(.*)/[^/]*$", 1)
+    folder = lambda p: F.regexp_extract(p, r"^(.*/)[^/]*$", 1)
     base = lambda p: F.regexp_extract(p, r"([^/]*)$", 1)
 
     def prefix(x: Column, y: Column) -> Column:
-        n = F.least(F.length(x), F.length(y))
-        hits = F.filter(F.sequence(F.lit(0), n), lambda k: F.substring(x, F.lit(1), k) == F.substring(y, F.lit(1), k))
-        return F.array_max(hits)
+        same = F.zip_with(F.split(x, ""), F.split(y, ""), lambda p, q: F.coalesce(p == q, F.lit(False)))
+        first = F.array_position(same, False)
+        return F.when((F.length(x) == 0) | (F.length(y) == 0), 0).when(first == 0, F.size(same)).otherwise(first - 1)
 
     def share(common: Column, x: Column, y: Column) -> Column:
         longest = F.greatest(F.length(x), F.length(y))
@@ -57,19 +58,36 @@ def name_similarity(a: Column, b: Column) -> Column:
     return F.floor((share(prefix(da, db), da, db) * 25 + share(prefix(ra, rb), da, db) * 25 + share(prefix(F.reverse(na), F.reverse(nb)), na, nb) * 50) / 100).cast("int")
 
 
-def exact_renames(diff: DataFrame) -> DataFrame:
+#: The most pairs of paths of one blob that are scored by name; of more, equal base names are paired first, then equal ranks of paths.
+RENAME_LIMIT = 10_000
+
+
+def exact_renames(diff: DataFrame, scratch: Scratch, limit: int = RENAME_LIMIT) -> DataFrame:
     """(pair, from_path, to_path, blob): deletions and insertions of the same blob and mode, each used once.
 
-    Within a blob both sides are ranked by path, and equal ranks are paired: all of the smaller side
-    find a partner, whatever its size, without forming pairs. Where a blob left one path and came to
-    one path this is the only choice. What finds no partner stays an insertion or a deletion.
+    Within a blob the pair of the most similar names is taken first, then the next of what is left
+    (equal scores by path). A blob with more than ``limit`` pairs is not scored: paths of equal base
+    names are paired by rank, and what is left is paired by rank, too, so all of the smaller side find a
+    partner without forming pairs. What finds no partner stays an insertion or a deletion.
     """
     key = ["pair", "blob", "mode"]
     gone = diff.where("action = 'delete'").select("pair", F.col("from_blob").alias("blob"), O.canonical_mode(F.col("from_mode")).alias("mode"), F.col("path").alias("from_path"))
     come = diff.where("action = 'insert'").select("pair", F.col("to_blob").alias("blob"), O.canonical_mode(F.col("to_mode")).alias("mode"), F.col("path").alias("to_path"))
-    a = gone.withColumn("k", F.row_number().over(Window.partitionBy(*key).orderBy("from_path")))
-    b = come.withColumn("k", F.row_number().over(Window.partitionBy(*key).orderBy("to_path")))
-    return a.join(b, [*key, "k"]).select("pair", "from_path", "to_path", "blob")
+    gone, come = scratch.save(gone), scratch.save(come)
+    sizes = gone.groupBy(*key).agg(F.count(F.lit(1)).alias("na")).join(come.groupBy(*key).agg(F.count(F.lit(1)).alias("nb")), key)
+    sizes = scratch.save(sizes.withColumn("many", F.col("na") * F.col("nb") > limit))
+    few, many = sizes.where("NOT many").select(*key), sizes.where("many").select(*key)
+    grp = F.struct(*key).alias("grp")
+    scored = gone.join(few, key).join(come, key).select(grp, F.col("from_path").alias("a"), F.col("to_path").alias("b"), name_similarity(F.col("from_path"), F.col("to_path")).alias("score"))
+    out = greedy_pairs(scored, scratch).select("grp.pair", F.col("a").alias("from_path"), F.col("b").alias("to_path"), "grp.blob")
+    left, right = gone.join(many, key, "left_semi"), come.join(many, key, "left_semi")
+    for base in (True, False):
+        name = lambda c: F.regexp_extract(c, r"([^/]*)$", 1) if base else F.lit("")  # noqa: B023, E731
+        rank = lambda d, c: d.withColumn("n", name(c)).withColumn("k", F.row_number().over(Window.partitionBy(*key, "n").orderBy(c)))
+        met = scratch.save(rank(left, "from_path").join(rank(right, "to_path"), [*key, "n", "k"]).select(*key, "from_path", "to_path"))
+        out = out.unionByName(met.select("pair", "from_path", "to_path", "blob"))
+        left, right = left.join(met.select(*key, "from_path"), [*key, "from_path"], "left_anti"), right.join(met.select(*key, "to_path"), [*key, "to_path"], "left_anti")
+    return out
 
 
 def blocks(texts: DataFrame, key: str, text: str) -> DataFrame:

@@ -37,9 +37,9 @@ def g20_unreachable(spark, base):
 def g4_first_parents(spark, base):
     """The first-parent chain of every tip, with the distance."""
     t = RepoTables(spark, base)
-    f = G.Forest(t)
+    f = G.Forest.of(t)
     tips = _tips(t).select("oid").distinct().join(f.endless, "oid", "left_anti")
-    return f.paths.join(tips, "oid").select(F.col("oid").alias("tip"), "depth", F.posexplode("path").alias("at", "oid")).select("tip", "oid", (F.col("depth") - F.col("at")).alias("distance"))
+    return f.paths_of(tips).select(F.col("oid").alias("tip"), "depth", F.posexplode("path").alias("at", "oid")).select("tip", "oid", (F.col("depth") - F.col("at")).alias("distance"))
 
 
 def g5_levels(spark, base):
@@ -51,35 +51,35 @@ def g5_levels(spark, base):
 def g5_whole_levels(spark, base):
     """Breadth-first levels from every repository's tips, over the whole history."""
     t = RepoTables(spark, base)
-    return G.Forest(t).levels(_tips(t)).select(F.col("label").alias("repo"), "oid", "level")
+    return G.Forest.of(t).levels(_tips(t)).select(F.col("label").alias("repo"), "oid", "level")
 
 
 def g11_merge_base(spark, base):
     t = RepoTables(spark, base)
-    return G.merge_bases(G.Forest(t), _heads(t).select("a", "b"))
+    return G.merge_bases(G.Forest.of(t), _heads(t).select("a", "b"))
 
 
 def g12_is_ancestor(spark, base):
     t = RepoTables(spark, base)
     h = _heads(t)
-    return G.is_ancestor(G.Forest(t), h.select("a", "b").unionByName(h.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    return G.is_ancestor(G.Forest.of(t), h.select("a", "b").unionByName(h.select(F.col("b").alias("a"), F.col("a").alias("b"))))
 
 
 def g13_independents(spark, base):
     t = RepoTables(spark, base)
-    return G.independents(G.Forest(t), _tips(t).withColumnRenamed("label", "grp")).select(F.col("grp").alias("repo"), "oid")
+    return G.independents(G.Forest.of(t), _tips(t).withColumnRenamed("label", "grp")).select(F.col("grp").alias("repo"), "oid")
 
 
 def g15_rev_list(spark, base):
     """What each repository's largest tip has and its smallest has not."""
     t = RepoTables(spark, base)
     h = _heads(t)
-    return G.rev_list(G.Forest(t), h.select(F.col("repo").alias("label"), F.col("b").alias("oid")), h.select(F.col("repo").alias("label"), F.col("a").alias("oid"))).select(F.col("label").alias("repo"), "oid")
+    return G.rev_list(G.Forest.of(t), h.select(F.col("repo").alias("label"), F.col("b").alias("oid")), h.select(F.col("repo").alias("label"), F.col("a").alias("oid"))).select(F.col("label").alias("repo"), "oid")
 
 
 def g14_ahead_behind(spark, base):
     t = RepoTables(spark, base)
-    return G.ahead_behind(G.Forest(t), _heads(t).select("a", "b"))
+    return G.ahead_behind(G.Forest.of(t), _heads(t).select("a", "b"))
 
 
 def g23_shallow(spark, base):
@@ -88,7 +88,7 @@ def g23_shallow(spark, base):
 
 
 def g35_generations(spark, base):
-    return G.Forest(RepoTables(spark, base)).generations()
+    return G.Forest.of(RepoTables(spark, base)).generations()
 
 
 def g1_log(spark, base):
@@ -99,7 +99,7 @@ def g1_log(spark, base):
 def g31_date_order(spark, base):
     """A topological order, newest first, as sort columns: no parent before a child."""
     t = RepoTables(spark, base)
-    return G.Forest(t).generations().join(t.slim, "oid").select("repo", "oid", (-F.col("generation")).alias("key1"), "committer_when")
+    return G.Forest.of(t).generations().join(t.slim, "oid").select("repo", "oid", (-F.col("generation")).alias("key1"), "committer_when")
 
 
 def g6_ctime_walk(spark, base):
@@ -121,7 +121,7 @@ def g19_tips_of(spark, base):
     """For every commit the number of tips of its repository that reach it."""
     t = RepoTables(spark, base)
     tips = t.refs.where("kind = 'hash' AND oid IS NOT NULL").select("oid").distinct()
-    return G.Forest(t).closure(tips.select(F.col("oid").alias("label"), "oid")).groupBy("oid").agg(F.count(F.lit(1)).alias("n_tips"))
+    return G.Forest.of(t).closure(tips.select(F.col("oid").alias("label"), "oid")).groupBy("oid").agg(F.count(F.lit(1)).alias("n_tips"))
 
 
 _REACH = "r AS (SELECT DISTINCT repo, oid FROM refs WHERE kind = 'hash' AND oid IN (SELECT oid FROM c) UNION SELECT r.repo, k.parent FROM r JOIN k ON r.oid = k.child)"

@@ -96,7 +96,7 @@ def g24_boundary_by_date(spark, base):
 @q()
 def g27_newest_haves(spark, base):
     t = RepoTables(spark, base)
-    return P.newest_haves(G.Forest(t), t.refs.where("kind = 'hash'").select("repo", "name", "oid"))
+    return P.newest_haves(G.Forest.of(t), t.refs.where("kind = 'hash'").select("repo", "name", "oid"))
 
 
 @q()
@@ -106,7 +106,7 @@ def u10_fetch_plan(spark, base):
     old = t.reflog.groupBy("repo", F.col("ref_name").alias("name")).agg(F.max_by("old_oid", "seq").alias("oid"))
     new = t.refs.where("kind = 'hash'").select("repo", F.col("name").alias("dst"), "oid", F.lit(False).alias("force"))
     pairs = new.join(old.select("repo", F.col("name").alias("dst"), F.col("oid").alias("a")), ["repo", "dst"]).where("a IS NOT NULL").select("a", F.col("oid").alias("b")).distinct()
-    return P.fetch_plan(old, new, G.is_ancestor(G.Forest(t), pairs))
+    return P.fetch_plan(old, new, G.is_ancestor(G.Forest.of(t), pairs))
 
 
 @q("SELECT repo, row_number() OVER (PARTITION BY repo ORDER BY name) - 1 AS ord, oid || chr(9) || name AS line FROM refs WHERE oid IS NOT NULL")

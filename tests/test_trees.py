@@ -31,13 +31,17 @@ def test_changes_and_reverse(spark):
 def test_exact_renames(spark):
     f = files(spark, {"x": {"p": (33188, "a"), "q": (33188, "a"), "r": (33188, "b")}, "y": {"s": (33188, "a"), "t": (33261, "b")}})
     pairs = spark.createDataFrame([("1", "x", "y")], "pair string, from_tree string, to_tree string")
-    assert [(r["from_path"], r["to_path"]) for r in D.exact_renames(D.changes(pairs, f)).collect()] == [("p", "s")]
+    assert [(r["from_path"], r["to_path"]) for r in D.exact_renames(D.changes(pairs, f), Scratch(spark, "test")).collect()] == [("p", "s")]
+    f = files(spark, {"x": {"a/x.py": (33188, "a"), "b/y.py": (33188, "a")}, "y": {"c/y.py": (33188, "a"), "d/x.py": (33188, "a")}})
+    for limit in (D.RENAME_LIMIT, 1):
+        got = D.exact_renames(D.changes(pairs, f), Scratch(spark, "test"), limit).collect()
+        assert {(r["from_path"], r["to_path"]) for r in got} == {("a/x.py", "d/x.py"), ("b/y.py", "c/y.py")}
 
 
 def test_name_similarity(spark):
-    cases = [("foo/bar.c", "foo/baz.c", 70), ("src/utils/Foo.java", "tests/utils/Foo.java", 64), ("foo/bar/baz.py", "README.md", 0), ("same", "same", 100)]
+    cases = [("foo/bar.c", "foo/baz.c", 70), ("src/utils/Foo.java", "tests/utils/Foo.java", 64), ("foo/bar/baz.py", "README.md", 0), ("src/utils/something/foo.py", "src/utils/something/other/foo.py", 69), ("src/utils/something/foo.py", "src/utils/yada/foo.py", 63), ("src/utils/something/foo.py", "src/utils/something/other/bar.py", 44), ("src/utils/something/foo.py", "src/utils/something/foo.py", 100), ("same", "same", 100)]
     df = spark.createDataFrame(cases, "a string, b string, want int").select("a", "b", "want", D.name_similarity(F.col("a"), F.col("b")).alias("got"))
-    assert all(abs(r["got"] - r["want"]) <= 6 for r in df.collect()), df.collect()
+    assert all(r["got"] == r["want"] for r in df.collect()), df.collect()
 
 
 def test_similarity_against_brute_force(spark):
