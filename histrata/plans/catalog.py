@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules that define QUERIES (name -> callable(spark, folder)) and ORACLE (name -> SQL).
-MODULES = ("hierarchy", "graph", "scans", "treediff", "text", "packs", "sets")
+MODULES = ("hierarchy", "graph", "scans", "treediff", "text", "packs", "sets", "formats")
 
 
 def collect() -> tuple[dict, dict]:

@@ -93,13 +93,14 @@ def g24_boundary_by_date(spark, base):
     return P.boundary_by_date(t, G.reachable(t, _tips(t)), "2023-01-01 00:00:00").select(F.col("label").alias("repo"), "oid", "shallow")
 
 
-@q()
+@q(f"WITH RECURSIVE {SQL}, {_KNOWN}, fp AS (SELECT child, parent FROM k WHERE ord = 0), q AS (SELECT DISTINCT oid FROM refs WHERE kind = 'hash' AND oid IN (SELECT oid FROM c)), w AS (SELECT oid AS tip, oid, 0 AS distance FROM q UNION ALL SELECT w.tip, fp.parent, w.distance + 1 FROM w JOIN fp ON fp.child = w.oid WHERE w.distance < 1500), e AS (SELECT DISTINCT tip FROM w WHERE distance = 1500) SELECT r.repo, r.name, w.oid FROM refs r JOIN w ON w.tip = r.oid WHERE r.kind = 'hash' AND w.distance < 100 AND w.tip NOT IN (SELECT tip FROM e)")
 def g27_newest_haves(spark, base):
     t = RepoTables(spark, base)
-    return P.newest_haves(G.Forest.of(t), t.refs.where("kind = 'hash'").select("repo", "name", "oid"))
+    f = G.Forest.of(t)
+    return P.newest_haves(f, t.refs.where("kind = 'hash'").select("repo", "name", "oid").join(f.endless, "oid", "left_anti").select("repo", "name", "oid"))
 
 
-@q()
+@q(f"WITH RECURSIVE {SQL}, {_KNOWN}, o0 AS (SELECT repo, ref_name AS dst, max(seq) AS s FROM rl GROUP BY 1, 2), o AS (SELECT o0.repo, o0.dst, min(rl.old_oid) AS old_oid FROM o0 JOIN rl ON rl.repo = o0.repo AND rl.ref_name = o0.dst AND rl.seq = o0.s GROUP BY 1, 2), f AS (SELECT r.repo, r.name AS dst, r.oid AS new_oid, o.old_oid FROM refs r LEFT JOIN o ON o.repo = r.repo AND o.dst = r.name WHERE r.kind = 'hash' AND r.oid IS DISTINCT FROM o.old_oid), w AS (SELECT DISTINCT new_oid AS s, new_oid AS oid FROM f WHERE new_oid IN (SELECT oid FROM c) UNION SELECT w.s, k.parent FROM w JOIN k ON w.oid = k.child) SELECT repo, dst, old_oid, new_oid, CASE WHEN old_oid IS NULL THEN 'new' WHEN dst NOT LIKE 'refs/tags/%' AND EXISTS (SELECT 1 FROM w WHERE w.s = f.new_oid AND w.oid = f.old_oid) THEN 'fast-forward' ELSE 'rejected' END AS action FROM f")
 def u10_fetch_plan(spark, base):
     """Taking each reference from what its log says before to what it is now."""
     t = RepoTables(spark, base)
@@ -119,7 +120,7 @@ def pr37_list_refs(spark, base):
     return P.list_refs(RepoTables(spark, base).refs, ["refs/heads/", "HEAD"]).select("repo", "name", "oid", "target")
 
 
-@q()
+@q("SELECT repo, name, unnest(list_filter([CASE WHEN coalesce(name, '') = '' THEN 'no name' END, CASE WHEN coalesce(url, '') = '' THEN 'no address' END, CASE WHEN len(list_filter(coalesce(fetch_specs, []), lambda s: NOT regexp_matches(coalesce(s, ''), '^[+]?([^:*]*:[^:*]+|[^:*]*[*][^:*]*:[^:*]*[*][^:*]*)$'))) > 0 THEN 'bad fetch spec' END], lambda x: x IS NOT NULL)) AS fault FROM remotes")
 def l22_violations(spark, base):
     return P.violations(RepoTables(spark, base).remotes)
 

@@ -80,9 +80,13 @@ def pr28_sparse(spark, base):
     return R.sparse(p, ["docs/", "cmd/", "core/"])
 
 
-_ANY = "(^|/)"
+#: For each rule of IGNORE a regular expression over a path or a folder above it ("/" after it); the last one that matches decides at each level.
+_IGNORED = (("(^|/)[^/]*[.]log$", True), ("(^|/)keep[.]log$", False), ("^build$", True), ("^cmd/[^/]*$", True), ("^cmd/main[.][^/]*$", False), ("^docs/(.*/)?draft[^/]*$", True), ("^(.*/)?[^/]*_test[.]go$", True), ("(^|/)temp[^/]$", True), ("^[a-c][^/]*/cache_[^/]*$", True))
+_FOLDERS = ("^build$", "(^|/)temp[^/]$")
+_VERDICT = "CASE " + " ".join(f"WHEN {'folder AND ' if r in _FOLDERS else ''}regexp_matches(prefix, '{r}') THEN {str(v).lower()}" for r, v in reversed(_IGNORED)) + " ELSE false END"
 QUERIES = {f.__name__: f for f in (l7_grep, l7_grep_invert, s_lines, a1_stats, l1_reconstruct, f38_unified, l3_blame, pr23_ignored, pr25_attributes, pr28_sparse)}
 ORACLE = {
+    "pr23_ignored": f"WITH p AS (SELECT DISTINCT path FROM documents WHERE path IS NOT NULL), x AS (SELECT path, unnest(range(1, len(string_split(path, '/')) + 1)) AS k FROM p), y AS (SELECT path, array_to_string(string_split(path, '/')[1:k], '/') AS prefix, k < len(string_split(path, '/')) AS folder FROM x) SELECT path, bool_or({_VERDICT}) AS ignored FROM y GROUP BY path",
     "l7_grep": r"SELECT repo, path, doc_id, line_no, content FROM (SELECT source AS repo, path, doc_id, unnest(string_split(text, chr(10))) AS content, CAST(unnest(range(1, len(string_split(text, chr(10))) + 1)) AS BIGINT) AS line_no FROM documents WHERE path IS NOT NULL AND (regexp_matches(path, '\.(go|md|txt)$') OR regexp_matches(path, '^docs/'))) WHERE regexp_matches(content, 'orphaned [a-z]+ block') OR regexp_matches(content, '^\* .*saves \d+ KB')",
     "l7_grep_invert": "SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS content FROM documents) WHERE NOT regexp_matches(content, '[a-z]') GROUP BY doc_id",
     "s_lines": "SELECT doc_id, CAST(CASE WHEN text = '' THEN 0 ELSE len(string_split(text, chr(10))) - (CASE WHEN text LIKE '%' || chr(10) THEN 1 ELSE 0 END) END AS BIGINT) AS n_lines FROM documents",
