@@ -24,6 +24,8 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from itertools import accumulate
+from operator import sub
 
 import numpy as np
 import pandas as pd
@@ -185,19 +187,16 @@ class Items:
 
 def dense(ids: list[int], own: frozenset[int], least: float) -> bool:
     """Whether some MIN_WORDS + SLACK successive words hold at least ``least`` words of the item, as every passage to be found does."""
-    if sum(map(own.__contains__, ids)) < least:
-        return False
-    width, inside = MIN_WORDS + SLACK, 0
-    flags = [x in own for x in ids]
-    for k, f in enumerate(flags):
-        inside += f - (flags[k - width] if k >= width else False)
-        if inside >= least:
-            return True
-    return False
+    inside = list(accumulate(map(own.__contains__, ids), initial=0))
+    width = MIN_WORDS + SLACK
+    return inside[-1] >= least and (len(ids) <= width or max(map(sub, inside[width:], inside)) >= least)
 
 
 def align(a: list[str], b: list[str]) -> tuple[int, int, list[tuple[int, int]]]:
     """The best local alignment of words a (document) and b (item): item span (first, last) and the aligned positions."""
+    if len(a) > 2 * len(b):  # the table is made row by row, over the shorter side
+        pairs = [(j, i) for i, j in align(b, a)[2]]
+        return (pairs[0][1], pairs[-1][1], pairs) if pairs else (0, -1, pairs)
     number: dict[str, int] = {}
     x = np.array([number.setdefault(w, len(number)) for w in a], dtype=np.int64)
     y = np.array([number.setdefault(w, len(number)) for w in b], dtype=np.int64)
