@@ -134,7 +134,7 @@ def pack(sized: DataFrame, capacities: list[tuple[int, int]], key: str = "doc_id
     if len(runs) <= BROADCAST_RUNS:
         planned = F.broadcast(planned)
     before = Window.partitionBy("container_id", "n_tokens").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counted.select("container_id", "n_tokens", "_b", F.coalesce(F.sum("_k").over(before), F.lit(0)).alias("_off"))
+    offsets = counted.select("container_id", "n_tokens", "_b", F.coalesce(F.sum("_k").over(before), F.lit(0)).alias("_off")).hint("merge")  # grows with the documents: not for the driver, however small its file
     inner = Window.partitionBy("container_id", "n_tokens", "_b").orderBy(key, "piece")
     ranked = items.withColumn("_r", F.row_number().over(inner) - 1).join(offsets, ["container_id", "n_tokens", "_b"]).withColumn("_rank", F.col("_r") + F.col("_off"))
     fits = (F.col("container_id") == F.col("r_container")) & (F.col("n_tokens") == F.col("r_len")) & (F.col("_rank") >= F.col("r_rank")) & (F.col("_rank") < F.col("r_rank") + F.col("r_n") * F.col("r_each"))

@@ -82,6 +82,11 @@ def test_one_length_shared_by_many(spark):
     assert rows.groupBy("container").sum("n_tokens").agg({"sum(n_tokens)": "max"}).first()[0] <= 64
 
 
+def test_only_the_plan_is_broadcast(spark):
+    df = spark.range(3000).selectExpr("id as doc_id", "id % 50 as n_tokens")
+    assert P.pack(df, [(1, 64)])._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange") == 1
+
+
 def test_tokens(spark):
     enc = P.encoding(P.VOCABULARY)
     texts = ["hello world", "", None, "naïve é 日本語", "x" * 5000]
