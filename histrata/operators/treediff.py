@@ -69,24 +69,26 @@ def exact_renames(diff: DataFrame, scratch: Scratch, limit: int = RENAME_LIMIT)
     (equal scores by path). A blob with more than ``limit`` pairs is not scored: paths of equal base
     names are paired by rank, and what is left is paired by rank, too, so all of the smaller side find a
     partner without forming pairs. What finds no partner stays an insertion or a deletion.
+    Saved tables take about two bytes a row on disk, so their files would pass for small; all joins are
+    by sorting, as a broadcast would bring millions of rows to the driver.
     """
     key = ["pair", "blob", "mode"]
     gone = diff.where("action = 'delete'").select("pair", F.col("from_blob").alias("blob"), O.canonical_mode(F.col("from_mode")).alias("mode"), F.col("path").alias("from_path"))
     come = diff.where("action = 'insert'").select("pair", F.col("to_blob").alias("blob"), O.canonical_mode(F.col("to_mode")).alias("mode"), F.col("path").alias("to_path"))
     gone, come = scratch.save(gone), scratch.save(come)
-    sizes = gone.groupBy(*key).agg(F.count(F.lit(1)).alias("na")).join(come.groupBy(*key).agg(F.count(F.lit(1)).alias("nb")), key)
+    sizes = gone.groupBy(*key).agg(F.count(F.lit(1)).alias("na")).join(come.groupBy(*key).agg(F.count(F.lit(1)).alias("nb")).hint("merge"), key)
     sizes = scratch.save(sizes.withColumn("many", F.col("na") * F.col("nb") > limit))
-    few, many = sizes.where("NOT many").select(*key), sizes.where("many").select(*key)
+    few, many = sizes.where("NOT many").select(*key).hint("merge"), sizes.where("many").select(*key).hint("merge")
     grp = F.struct(*key).alias("grp")
-    scored = gone.join(few, key).join(come, key).select(grp, F.col("from_path").alias("a"), F.col("to_path").alias("b"), name_similarity(F.col("from_path"), F.col("to_path")).alias("score"))
+    scored = gone.join(few, key).join(come.hint("merge"), key).select(grp, F.col("from_path").alias("a"), F.col("to_path").alias("b"), name_similarity(F.col("from_path"), F.col("to_path")).alias("score"))
     out = greedy_pairs(scored, scratch).select("grp.pair", F.col("a").alias("from_path"), F.col("b").alias("to_path"), "grp.blob")
     left, right = gone.join(many, key, "left_semi"), come.join(many, key, "left_semi")
     for base in (True, False):
         name = lambda c: F.regexp_extract(c, r"([^/]*)$", 1) if base else F.lit("")  # noqa: B023, E731
         rank = lambda d, c: d.withColumn("n", name(c)).withColumn("k", F.row_number().over(Window.partitionBy(*key, "n").orderBy(c)))
-        met = scratch.save(rank(left, "from_path").join(rank(right, "to_path"), [*key, "n", "k"]).select(*key, "from_path", "to_path"))
+        met = scratch.save(rank(left, "from_path").join(rank(right, "to_path").hint("merge"), [*key, "n", "k"]).select(*key, "from_path", "to_path"))
         out = out.unionByName(met.select("pair", "from_path", "to_path", "blob"))
-        left, right = left.join(met.select(*key, "from_path"), [*key, "from_path"], "left_anti"), right.join(met.select(*key, "to_path"), [*key, "to_path"], "left_anti")
+        left, right = left.join(met.select(*key, "from_path").hint("merge"), [*key, "from_path"], "left_anti"), right.join(met.select(*key, "to_path").hint("merge"), [*key, "to_path"], "left_anti")
     return out
 
 
@@ -124,15 +126,16 @@ def greedy_pairs(scored: DataFrame, scratch: Scratch) -> DataFrame:
     """From (grp, a, b, score) the pairs a greedy choice takes, best score first (ties by a, b), each a and b once.
 
     Rounds of mutual best choices: a pair that is the best of both its ends is what greedy takes, too.
+    All joins are by sorting, for the reason given in ``exact_renames``.
     """
     rest, out = scratch.save(scored), None
     rank = F.struct(-F.col("score"), F.col("a"), F.col("b"))
     while not rest.isEmpty():
-        best_a = rest.groupBy("grp", "a").agg(F.min(rank).alias("ra"))
-        best_b = rest.groupBy("grp", "b").agg(F.min(rank).alias("rb"))
+        best_a = rest.groupBy("grp", "a").agg(F.min(rank).alias("ra")).hint("merge")
+        best_b = rest.groupBy("grp", "b").agg(F.min(rank).alias("rb")).hint("merge")
         took = scratch.save(rest.join(best_a, ["grp", "a"]).join(best_b, ["grp", "b"]).where(F.col("ra") == F.col("rb")).select("grp", "a", "b", "score"))
         out = took if out is None else out.unionByName(took)
-        left = rest.join(took.select("grp", "a"), ["grp", "a"], "left_anti").join(took.select("grp", "b"), ["grp", "b"], "left_anti").select("grp", "a", "b", "score")
+        left = rest.join(took.select("grp", "a").hint("merge"), ["grp", "a"], "left_anti").join(took.select("grp", "b").hint("merge"), ["grp", "b"], "left_anti").select("grp", "a", "b", "score")
         rest = scratch.save(left)
     return out if out is not None else rest
 

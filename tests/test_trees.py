@@ -38,6 +38,18 @@ def test_exact_renames(spark):
         assert {(r["from_path"], r["to_path"]) for r in got} == {("a/x.py", "d/x.py"), ("b/y.py", "c/y.py")}
 
 
+def test_exact_renames_broadcast_nothing(spark):
+    class Seen(Scratch):
+        def save(self, df):
+            assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+            return super().save(df)
+
+    one = lambda action, path: ("1", action, path, 33188, B["a"], 33188, B["a"])
+    diff = spark.createDataFrame([one("delete", "a/x"), one("delete", "b/y"), one("insert", "c/y"), one("insert", "d/x")], "pair string, action string, path string, from_mode int, from_blob string, to_mode int, to_blob string")
+    for limit in (D.RENAME_LIMIT, 1):
+        assert D.exact_renames(diff, Seen(spark, "test"), limit).count() == 2
+
+
 def test_name_similarity(spark):
     cases = [("foo/bar.c", "foo/baz.c", 70), ("src/utils/Foo.java", "tests/utils/Foo.java", 64), ("foo/bar/baz.py", "README.md", 0), ("src/utils/something/foo.py", "src/utils/something/other/foo.py", 69), ("src/utils/something/foo.py", "src/utils/yada/foo.py", 63), ("src/utils/something/foo.py", "src/utils/something/other/bar.py", 44), ("src/utils/something/foo.py", "src/utils/something/foo.py", 100), ("same", "same", 100)]
     df = spark.createDataFrame(cases, "a string, b string, want int").select("a", "b", "want", D.name_similarity(F.col("a"), F.col("b")).alias("got"))
